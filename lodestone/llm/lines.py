@@ -7,9 +7,9 @@ less any one character; two lines within one edit share a variant, so variants a
 keys are joined, and the edit distance of the joined lines is verified. A line is dropped if any earlier line is
 within the bound, whether or not that one is dropped itself.
 
-A line only needs variants if another line can be within one edit of it. One edit leaves the first or the last half
-of a line alone, so lines that share neither half with a line of nearly the same length are left out beforehand;
-this drops no pair.
+A line only needs variants if another line can be within one edit of it. One edit touches one of three parts of a
+line, so lines that share no two parts with a line of nearly the same length are left out beforehand; this drops no
+pair.
 
 Defined results. Null text stays null; a document without lines to drop comes out unchanged, one that loses all its
 lines has no row. A null doc_id can't be ordered: its rows stay as they are. Rows that repeat a doc_id hold the same
@@ -31,6 +31,8 @@ from lodestone.workdir import Stash, maybe_broadcast
 
 MIN_CHARS = 20
 MAX_EDITS = 1
+#: Parts of a line, of which one edit touches one.
+PARTS = 3
 
 
 def _norm(line: Column) -> Column:
@@ -75,31 +77,32 @@ def dropped_lines(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     n = F.length("line")
 
-    def half(m: Column, end: str) -> Column:
-        """A hash of half of a line, for partners of which the shorter has m characters."""
-        size = F.floor(m / 2).cast("int")
-        part = F.substring(F.col("line"), F.lit(1), size) if end == "head" else F.substring(F.col("line"), -size, size)
-        return F.xxhash64(F.lit(end), m, part)
+    def part(m: Column, i: int) -> Column:
+        """A hash of all but the i-th part of a line, for partners of which the shorter has m characters."""
+        lo, hi = F.floor(m * i / PARTS).cast("int"), F.floor(m * (i + 1) / PARTS).cast("int")
+        head = F.substring(F.col("line"), F.lit(1), lo)
+        tail = F.when(m > hi, F.substring(F.col("line"), hi - m, m - hi)).otherwise("")
+        return F.xxhash64(F.lit(i), m, head, tail)
 
-    keys = F.array(half(n, "head"), half(n, "tail"), half(n - 1, "head"), half(n - 1, "tail"))
+    keys = F.array(*[part(m, i) for m in (n, n - 1) for i in range(PARTS)])
     seen = stash.put(
         _lines(docs).select(
-            "doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), keys.alias("halves")
+            "doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), keys.alias("parts")
         )
     )
     first = F.min(F.struct("doc_id", "pos"))
     firsts = stash.put(
-        seen.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("c"), F.min("halves").alias("halves"))
+        seen.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("c"), F.min("parts").alias("parts"))
     )
     many = firsts.where("c > 1").select("h1", "h2", "f")
     repeats = seen.select("doc_id", "pos", "h1", "h2").join(maybe_broadcast(stash.put(many)), ["h1", "h2"])
     repeats = repeats.where("doc_id <> f.doc_id or pos <> f.pos").select("doc_id", "pos")
 
     shared = (
-        firsts.select(F.explode("halves").alias("k"), "f").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+        firsts.select(F.explode("parts").alias("k"), "f").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     )
     able = stash.put(
-        firsts.select(F.explode("halves").alias("k"), "f")
+        firsts.select(F.explode("parts").alias("k"), "f")
         .join(maybe_broadcast(stash.put(shared)), "k", "left_semi")
         .select("f.doc_id", "f.pos")
         .distinct()
