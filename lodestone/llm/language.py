@@ -34,7 +34,7 @@ def counts(c: vec.Chunk) -> np.ndarray:
     """Occurrences of every hashed triple, as (documents, 2**BITS)."""
     n = 1 << BITS
     doc = np.repeat(np.arange(c.n, dtype=np.int64), np.diff(c.off))
-    return np.bincount(doc * n + vec.char_grams(c.buf, BITS), minlength=c.n * n).reshape(c.n, n)
+    return np.bincount(doc * n + vec.char_grams(c.buf, BITS, c.off), minlength=c.n * n).reshape(c.n, n)
 
 
 def _blocks(col: pa.Array) -> Iterator[vec.Chunk]:

@@ -46,7 +46,7 @@ class Bags:
         lo = c.ws[first] if n else np.zeros(0, np.int64)
         last = np.searchsorted(wpass, np.arange(n), "right") - 1
         hi = c.we[last] if n else np.zeros(0, np.int64)
-        tri = vec.char_grams(c.buf, TRI_BITS)
+        tri = vec.char_grams(c.buf, TRI_BITS, c.off)
         inside = np.zeros(len(c.buf) + 1, np.int64)
         np.add.at(inside, lo, 1)
         np.add.at(inside, hi, -1)

@@ -39,7 +39,7 @@ def features(c: vec.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pair = (vec.mix(h[:-1] * vec.U(31) + h[1:]) >> vec.U(64 - BITS)).astype(np.int32)
     pair[h[:-1] == h[1:]] = _SAME
     inside = c.wdoc[1:] == c.wdoc[:-1] if len(h) else np.zeros(0, bool)
-    tri = vec.char_grams(c.buf, BITS)
+    tri = vec.char_grams(c.buf, BITS, c.off)
     tdoc = np.repeat(np.arange(c.n), np.diff(c.off))
     bytes_ = np.maximum(np.diff(c.off), 1)
     idx = np.concatenate((word, n + pair[inside], 2 * n + tri))

@@ -104,11 +104,18 @@ def segment_sum(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def char_grams(buf: np.ndarray, bits: int) -> np.ndarray:
-    """For each byte, a hash in [0, 2**bits) of the three bytes that begin there (the last two wrap to zero bytes)."""
+def char_grams(buf: np.ndarray, bits: int, off: np.ndarray | None = None) -> np.ndarray:
+    """For each byte, a hash in [0, 2**bits) of the three bytes that begin there; zero bytes stand beyond a document's end."""
     b = np.concatenate((buf, np.zeros(2, np.uint8))).astype(np.uint32)
+    y, z = b[1:-1], b[2:]
+    if off is not None:
+        full = off[1:] > off[:-1]
+        y, z = y.copy(), z.copy()
+        y[off[1:][full] - 1] = 0
+        z[off[1:][full] - 1] = 0
+        z[np.maximum(off[1:][full] - 2, 0)] = 0
     with np.errstate(over="ignore"):
-        h = (b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(0x9E3779B1)
+        h = (b[:-2] | (y << np.uint32(8)) | (z << np.uint32(16))) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
     return (h >> np.uint32(32 - bits)).astype(np.int32)
