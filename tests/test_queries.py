@@ -1,7 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives; every other one runs."""
 
 import pytest
-from conftest import same
+from compare import same
 
 from lodestone.plans import catalog
 
