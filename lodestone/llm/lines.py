@@ -143,7 +143,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stash = Stash(docs.sparkSession)
     gone = dropped_lines(docs, stash).groupBy("doc_id").agg(F.collect_set("pos").alias("__ls_gone"))
     gone = stash.put(gone.withColumnRenamed("doc_id", "__ls_id"))
-    joined = docs.join(maybe_broadcast(gone, 2_000), docs["doc_id"] == F.col("__ls_id"), "left")
+    # What is dropped grows with the documents, so this join shuffles at every size.
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__ls_id"), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__ls_gone", i))
     joined = joined.withColumn("__ls_kept", F.when(F.col("__ls_id").isNotNull(), kept))
     joined = joined.where("__ls_kept is null or size(__ls_kept) > 0")
