@@ -38,7 +38,7 @@ def counts(c: vec.Chunk) -> np.ndarray:
 
 
 def _blocks(col: pa.Array) -> Iterator[vec.Chunk]:
-    yield from vec.chunks(col, size=1 << 19)
+    yield from vec.chunks(col, size=1 << 19, rows=512)
 
 
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -76,8 +76,8 @@ def strings(col: pa.Array) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def chunks(col: pa.Array, lower: bool = True, size: int = 1 << 20) -> Iterator[Chunk]:
-    """The documents of a string column in runs of about ``size`` bytes; a longer document is a run of its own."""
+def chunks(col: pa.Array, lower: bool = True, size: int = 1 << 20, rows: int = 1 << 16) -> Iterator[Chunk]:
+    """The documents of a string column in runs of about ``size`` bytes, ``rows`` at most; a longer document is a run of its own."""
     col = strings(col)
     if lower:
         col = pc.utf8_lower(col)
@@ -90,7 +90,7 @@ def chunks(col: pa.Array, lower: bool = True, size: int = 1 << 20) -> Iterator[C
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield Chunk(lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
 
