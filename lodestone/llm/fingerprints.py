@@ -35,6 +35,7 @@ BANDS, BITS = 48, 6
 WALKS = 4
 CLASS_STEP = 1.15
 SEED = 1603
+HIST = 64
 _PERIOD = 4096
 
 
@@ -180,6 +181,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def histogram(text: str) -> np.ndarray:
+    """Counts of the characters, folded to HIST bins. An edit moves at most two counts by one."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((raw * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=HIST)
+
+
 def _sketch(bands: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +196,11 @@ def _sketch(bands: int, bits: int):
             row, key = row[order], key[order]
             off = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(off), pa.array(key))],
-                ["doc_id", "same", "buckets"],
+                [
+                    batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(off), pa.array(key)),
+                    pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
+                ],
+                ["doc_id", "same", "buckets", "hist"],
             )
 
     return run
@@ -207,7 +217,7 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
     same = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2"))
     table = stash.put(
         given.select("doc_id", "text", same.alias("same")).mapInArrow(
-            _sketch(bands, bits), "doc_id long, same struct<h1:long,h2:long>, buckets array<long>"
+            _sketch(bands, bits), "doc_id long, same struct<h1:long,h2:long>, buckets array<long>, hist array<int>"
         )
     )
     every = stash.put(
@@ -215,11 +225,20 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
         .select("doc_id", "m.same", "m.fingerprint")
     )
     firsts = stash.put(every.groupBy("same").agg(F.min("doc_id").alias("id")))
-    keyed = table.join(firsts, (table["doc_id"] == firsts["id"]) & (table["same"] == firsts["same"]), "left_semi").select(
-        F.col("doc_id").alias("id"), "buckets"
+    reps = table.join(firsts, (table["doc_id"] == firsts["id"]) & (table["same"] == firsts["same"]), "left_semi").select(
+        F.col("doc_id").alias("id"), "buckets", "hist"
     )
+    keyed = reps.select("id", "buckets")
+    hists = stash.put(reps.select("id", "hist").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # An exact sieve on small rows: at most k edits move the counts by at most 2 k. Only what it leaves is read as text.
+        x = hists.select(F.col("id").alias("a"), F.col("hist").alias("ha"))
+        y = hists.select(F.col("id").alias("b"), F.col("hist").alias("hb"))
+        total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
+        moved = total(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)))
+        k = F.least(F.lit(MAX_EDITS), F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO)))
+        pairs = stash.put(pairs.join(x, "a").join(y, "b").where(moved <= 2 * k).select("a", "b"))
         ids = stash.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
         texts = stash.put(given.join(maybe_broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
