@@ -127,60 +127,6 @@ def band_keys(texts: list[str], bands: int = BANDS, bits: int = BITS) -> tuple[n
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def edit_within(a: str, b: str, k: int) -> int:
-    """The edit distance of two texts if it is at most k, else -1: furthest points by diagonal, k + 1 rounds.
-
-    How far two texts agree from a pair of places on is found by halving over prefix hashes (64 bits), for all
-    diagonals at once.
-    """
-    if a == b:
-        return 0
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return -1
-    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32).astype(vec.U)
-    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32).astype(vec.U)
-    up, down = vec.power(max(n, m) + 1)
-    with np.errstate(over="ignore"):
-        px, py = np.zeros(n + 1, vec.U), np.zeros(m + 1, vec.U)
-        np.cumsum(vec.mix(x + vec.U(1)) * up[:n], out=px[1:])
-        np.cumsum(vec.mix(y + vec.U(1)) * up[:m], out=py[1:])
-        steps = [1 << s for s in range(max(1, min(n, m)).bit_length() - 1, -1, -1)]
-        gone = -(1 << 40)
-        prev = np.full(2 * k + 3, gone, np.int64)
-        for e in range(k + 1):
-            d = np.arange(-e, e + 1)
-            at = d + k + 1
-            i = np.zeros(1, np.int64) if e == 0 else np.maximum(np.maximum(prev[at] + 1, prev[at - 1]), prev[at + 1] + 1)
-            i = np.minimum(i, np.minimum(n, m - d))
-            ok = (i >= 0) & (i + d >= 0)
-            i = np.where(ok, i, 0)
-            j = np.where(ok, i + d, 0)
-            room = np.where(ok, np.minimum(n - i, m - j), 0)
-            for s in steps:
-                can = room >= s
-                if not can.any():
-                    continue
-                ii, jj = np.where(can, i, 0), np.where(can, j, 0)
-                t = s if s <= min(n, m) else 0
-                same = can & ((px[ii + t] - px[ii]) * down[ii] == (py[jj + t] - py[jj]) * down[jj])
-                go = np.where(same, s, 0)
-                i, j, room = i + go, j + go, room - go
-            if ((d == m - n) & ok & (i == n)).any():
-                return e
-            nxt = np.full(2 * k + 3, gone, np.int64)
-            nxt[at] = np.where(ok, i, gone)
-            prev = nxt
-    return -1
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-        ok = [edit_within(p, q, bound(max(len(p), len(q)))) >= 0 for p, q in zip(ta, tb)]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 def histogram(text: str) -> np.ndarray:
     """Counts of the characters, folded to HIST bins. An edit moves at most two counts by one."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -244,8 +190,11 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(x, "a").join(y, "b")
+        # The work goes by length times bound, not by bytes, so pairs are spread by count before it.
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return both.repartition(tasks).select("a", "b", "ta", "tb").mapInArrow(_near, "a long, b long")
+        n = F.greatest(F.length("ta"), F.length("tb"))
+        k = F.least(F.lit(MAX_EDITS), F.floor(n * F.lit(RATIO))).cast("int")
+        return both.withColumn("k", k).repartition(tasks).where("levenshtein(ta, tb, k) >= 0").select("a", "b")
 
     out = groups(docs.sparkSession, every.select("doc_id", "same"), keyed, verified, stash)
     return out.join(every.select("doc_id", "fingerprint"), "doc_id").withColumn(
