@@ -67,12 +67,6 @@ def resolve(
     return final.select(F.col("node").alias("id"), F.col("component").alias("root"))
 
 
-def contents(docs: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """Rows (id, column) of ``docs`` for the ids that occur in ``pairs``; broadcasts the ids if they are few."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return docs.select("id", column).join(ids, "id", "left_semi")
-
-
 def groups(
     spark: SparkSession, every: DataFrame, keyed: DataFrame, verified: Callable[[DataFrame], DataFrame], stash: Stash
 ) -> DataFrame:

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.llm import vec
 from lodestone.llm.fit import Adam, Model, cut, fit, held_out, labelled, scatter, sigmoid
@@ -129,7 +128,6 @@ def train(table: pa.Table) -> Model:
         raise ValueError("labels of both classes are needed")
     rng = np.random.default_rng(SEED)
     uh, tri, toff, idx, wdoc = [], [], [0], [], []
-    seen: dict[int, int] = {}
     df: dict[int, int] = {}
     base = 0
     for c in vec.chunks(table["text"]):
@@ -147,7 +145,6 @@ def train(table: pa.Table) -> Model:
         base += len(w.uh)
     uh, tri, idx, wdoc = np.concatenate(uh), np.concatenate(tri), np.concatenate(idx), np.concatenate(wdoc)
     idx[idx < 0] = base
-    del seen
     vocab = np.array(sorted(h for h, k in df.items() if k >= MIN_DOCS), vec.U)
     g = lambda *s, by=0.3: (rng.standard_normal(s) * by).astype(np.float32)
     n_in = DIM_WORD + DIM_CHAR
@@ -213,8 +210,7 @@ def train(table: pa.Table) -> Model:
     for epoch in range(SHARP):
         opt.rate = 0.01 * (1 - epoch / SHARP) + 0.001
         score = logits(rows)
-        noise = np.zeros(len(rows))
-        order = np.lexsort((-(score + noise), wdoc[rows]))
+        order = np.lexsort((-score, wdoc[rows]))
         sizes = np.array([len(s) for s in spread])
         start = np.cumsum(sizes) - sizes
         top = rows[order[start]]
