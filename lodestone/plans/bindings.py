@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.sources.files import documents_as_files
+from lodestone.sources.files import documents_as_files, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_as_files(table(spark, sf_dir, "documents"))
+    return documents_as_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 FILES = """files AS (

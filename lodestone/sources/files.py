@@ -46,6 +46,15 @@ def fallback_listing(spark: SparkSession, root: str) -> DataFrame:
     return scan(spark, root, "*.py").select("path").orderBy("path").limit(100)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer partitions than there are cores: one row group can't be split.
+
+    A table of many files, as any large one, comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 EXT = [".py", ".js", ".json", ".md", ".go", ".rs", "/__init__.py", ".ts"]
 
 
