@@ -33,9 +33,17 @@ def test_quality(spark, docs, truth, module):
 
 
 def test_toxicity(spark, docs, truth):
+    # The production sample; clean documents outside it, and the toxic fifth of it that training doesn't see.
+    sample = toxicity.sample_of(spark, DIR)
+    model = toxicity.fit(sample, toxicity.train)
     own = docs.join(F.broadcast(truth), "doc_id").select("doc_id", "text")
-    rows = toxicity.score(own, labelled(spark, DIR, "toxic", 400)).join(truth.select("doc_id", F.col("toxic").alias("y")), "doc_id").toPandas()
-    assert rows.toxic[rows.y == 1].mean() > 0.9 and rows.toxic[rows.y == 0].mean() < 0.02
+    out = own.mapInArrow(toxicity._score(model), "doc_id long, toxicity double, toxic boolean, windows long, top_window long")
+    rows = out.join(truth.select("doc_id", F.col("toxic").alias("y")), "doc_id").toPandas()
+    seen = {r["doc_id"] for r in sample.select("doc_id").collect()}
+    fresh = rows[~rows.doc_id.isin(seen)]
+    # 0.86 of 93 here, where training has but 356 toxic documents; all of 240 on a larger table, where it has 960.
+    assert model["held_out"][0] > 0.8 and rows.toxic[rows.y == 1].mean() > 0.9
+    assert (fresh.y == 0).sum() > 1000 and fresh.toxic[fresh.y == 0].mean() < 0.02
 
 
 def test_language(spark, docs):
