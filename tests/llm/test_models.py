@@ -41,7 +41,7 @@ def test_toxicity(spark, docs, truth):
     rows = out.join(truth.select("doc_id", F.col("toxic").alias("y")), "doc_id").toPandas()
     seen = {r["doc_id"] for r in sample.select("doc_id").collect()}
     fresh = rows[~rows.doc_id.isin(seen)]
-    # 0.86 of 93 here, where training has but 356 toxic documents; all of 240 on a larger table, where it has 960.
+    # 0.86 of 93 here, where training has but 356 toxic documents; all of about 240 on check_s, where it has about 960.
     assert model["held_out"][0] > 0.8 and rows.toxic[rows.y == 1].mean() > 0.9
     assert (fresh.y == 0).sum() > 1000 and fresh.toxic[fresh.y == 0].mean() < 0.02
 
