@@ -1,21 +1,25 @@
-"""Operator 4, document fingerprints: randomised edit embedding, bit-sampled banding, verified edit distance.
-
-All texts walk through the same random function: at step j a text shows the character under its pointer, and the
-pointer moves on if the shared random bit of (j, character) is one. Texts at a small edit distance fall back into
-step after each edit, so that their embeddings are at a small Hamming distance (Chakraborty, Goldenberg and Koucky,
-2016). A band samples a few steps of the embedding; texts that agree on a band are candidates, and the candidates'
-edit distance is computed on the whole texts.
-
-Defined results. A text's length class decides which steps are sampled; a text near the end of its class is also
-indexed in the neighbouring class, so that any two texts within the bound share one. Steps are sampled over the
-embedding of the longest text of the class, so over whole texts. Null or empty text: never a copy. A null doc_id
-has no row. Repeated rows of one doc_id are one document; if their texts differ, the greatest hash decides. Empty
-table: no rows. A group is named by its least doc_id. Further columns are ignored.
+"""Operator 4, document fingerprints: randomised edit embedding of anchored segments, banding, verified edit distance.
+
+A segment begins wherever the hash of four characters is the least of its neighbourhood (and at a text's first
+character), so that one edit, of whatever length, disturbs the segments at its place and no others. All segments walk
+through the same random function: at step j a segment shows the character under its pointer, and the pointer moves on
+if the shared random bit of (j, character) is one (the edit embedding of Chakraborty, Goldenberg and Koucky, 2016,
+restarted at every anchor). Sampled steps of a walk are a segment's sketch. The least sketch of a text under each of
+BANDS * ROWS random orders is its signature; texts that agree on the ROWS places of a band are candidates, and the
+candidates' edit distance is checked on the whole texts.
+
+Defined results. In short texts every character begins a segment; texts near the limit are indexed both ways, so that
+any two texts within the bound share one; bands are compared within cells of length. Candidates of longer texts must agree on MIN_AGREE places of the signature
+too, which may lose a pair, as the bands may. Null or empty text: never a copy. A null doc_id has no row. Repeated
+rows of one doc_id are one document; if their texts differ, the greatest hash decides. Empty table: no rows. A group
+is named by its least doc_id. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +33,20 @@ from lodestone.workdir import Stash, maybe_broadcast
 
 #: Two texts are copies if their edit distance is at most RATIO of the longer one's length, and at most MAX_EDITS.
 RATIO, MAX_EDITS = 0.02, 200
-BANDS, BITS = 48, 6
-#: Independent walks; band i samples the embedding of walk i mod WALKS. After an edit one walk may stay out of step
-#: for long (the time has a heavy tail), hardly all of them.
-WALKS = 4
-CLASS_STEP = 1.15
+BANDS, ROWS, MIN_AGREE = 20, 3, 12
+#: Independent walks of STEPS steps, of which BITS are sampled; place i of the signature has walk i mod WALKS.
+WALKS, STEPS, BITS = 2, 24, 6
+#: An anchor has the least hash of GRAM characters among REACH positions either side.
+GRAM, REACH = 4, 8
+#: Every position is an anchor up to LONG characters, anchors are chosen from SHORT on; SHORT is within the bound of LONG.
+SHORT, LONG = 300, 333
 SEED = 1603
 HIST = 64
-_PERIOD = 4096
+#: Characters that are sketched at once.
+_AT_ONCE = 1 << 21
+_MAX = np.uint32(0xFFFFFFFF)
+#: Characters of a verified match, and of the grams that reject.
+_MATCH, _Q = 12, 5
 
 
 def bound(length: int) -> int:
@@ -44,87 +54,225 @@ def bound(length: int) -> int:
     return min(MAX_EDITS, int(RATIO * length))
 
 
-def _class_range(k: int) -> tuple[int, int]:
-    return math.ceil(CLASS_STEP**k), math.ceil(CLASS_STEP ** (k + 1)) - 1
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One byte from 1 to 255 for every character, zeros after each text; where each text begins."""
+    gap = "\0" * (REACH + GRAM)
+    raw = np.frombuffer(gap.join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    start = np.cumsum(lens + len(gap)) - lens - len(gap)
+    codes = np.where(raw < 128, raw, 128 + (raw * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(127)).astype(np.uint8)
+    codes[codes == 0] = 255
+    for k in range(len(gap)):
+        codes[start + lens + k] = 0
+    return codes, start
 
 
-def _walk_bits() -> np.ndarray:
-    bits = np.random.default_rng(SEED).integers(0, 2, (_PERIOD, WALKS, 256), dtype=np.uint8)
-    bits[:, :, 0] = 0  # the end of a text: the pointer stays
-    return bits
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
 
 
-def sampled_steps(k: int, bands: int, bits: int) -> np.ndarray:
-    """The steps that the bands of length class k look at, as a (bands, bits) array."""
-    hi = _class_range(k)[1]
-    return np.random.default_rng([SEED, k]).integers(0, max(2, 2 * hi), (bands, bits))
+def _anchors(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Positions whose hash is the least within REACH, and every text's first."""
+    h = np.zeros(len(codes), np.uint32)
+    inside = codes > 0
+    for k in range(GRAM):
+        c = codes[k:].astype(np.uint32)
+        h[: len(c)] = h[: len(c)] * np.uint32(0x01000193) + c
+        inside[: len(c)] &= c > 0
+    h = _mix32(h)
+    h[~inside] = _MAX
+    h[len(h) - GRAM + 1 :] = _MAX
+    low, width = h, 1
+    while width < REACH:  # low[i]: the least of h[i : i + width]
+        step = min(width, REACH - width)
+        low, width = np.minimum(low, np.concatenate((low[step:], np.full(step, _MAX)))), width + step
+    pad = np.full(REACH, _MAX)
+    before, after = np.concatenate((pad, low))[: len(h)], np.concatenate((low[1:], pad[:1]))
+    chosen = (h < before) & (h <= after) & (h < _MAX)
+    chosen[start] = True
+    return np.flatnonzero(chosen)
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """One byte from 1 to 255 for every character, 0 after each text; where each text begins, and the end."""
-    raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    start = np.concatenate(([0], np.cumsum(lens + 1)))
-    codes = np.where(raw < 128, raw, 128 + (raw * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(127)).astype(np.uint8)
-    codes[codes == 0] = 255
-    codes[start[1:] - 1] = 0
-    return codes, start
+def _signatures(codes: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The least sketch of each text's segments, which begin at ``at``, under each order: (BANDS * ROWS, texts)."""
+    rng = np.random.default_rng(SEED)
+    moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.uint8)
+    moves[:, :, 0] = 0  # the end of a text: the pointer stays
+    looks = [set(rng.choice(STEPS, BITS, replace=False).tolist()) for _ in range(WALKS)]
+    odd, plus = (rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+    first = np.searchsorted(at, start)
+    sketches = []
+    for w in range(WALKS):
+        ptr, h = at.copy(), np.full(len(at), w + 1, np.uint32)
+        for j in range(max(looks[w]) + 1):
+            c = codes[ptr]
+            if j in looks[w]:
+                h = h * np.uint32(0x01000193) + c
+            ptr += moves[w, j][c]
+        sketches.append(_mix32(h))
+    return np.stack([np.minimum.reduceat(sketches[k % WALKS] * (odd[k] | np.uint32(1)) + plus[k], first) for k in range(BANDS * ROWS)])
 
 
-def band_keys(texts: list[str], bands: int = BANDS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band of every non-empty text; a row near a class's end has the keys of two classes."""
-    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    order = np.argsort(-lens, kind="stable")
-    order = order[lens[order] > 0]
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, start = _codes([texts[i] for i in order])
-    n = lens[order]
-    walk = _walk_bits()
-    todo: dict[int, list] = {}
-    parts = []
-    top, low = int(math.log(n[0]) / math.log(CLASS_STEP)) + 2, int(math.log(n[-1]) / math.log(CLASS_STEP)) - 2
-    for k in range(max(0, low), top + 1):
-        lo, hi = _class_range(k)
-        if hi < lo:
-            continue
-        # Rows of this class, and those from which a text of this class can be within the bound.
-        least = lo - bound(hi) if bound(hi) else lo
-        a, b = np.searchsorted(-n, -(hi + bound(hi)), "left"), np.searchsorted(-n, -least, "right")
-        if a >= b:
-            continue
-        steps = sampled_steps(k, bands, bits)
-        shown = np.zeros((steps.size, b - a), np.uint8)
-        at = np.unique(steps)
-        for s in at:
-            todo.setdefault(int(s), []).append((a, b, shown, np.flatnonzero(steps.ravel() == s)))
-        parts.append((k, a, b, shown))
-    ptr = np.tile(start[:-1], (WALKS, 1))
-    last = max(todo)
-    active = len(n)
-    # A text whose class needs no further step leaves; rows are in order of length, so the active ones are a prefix.
-    until = np.zeros(len(n), np.int64)
-    for k, a, b, _ in parts:
-        until[a:b] = np.maximum(until[a:b], int(sampled_steps(k, bands, bits).max()))
-    until = np.maximum.accumulate(until[::-1])[::-1]
-    for j in range(last + 1):
-        while active and until[active - 1] < j:
-            active = int(np.searchsorted(-until[:active], -j, "right"))
-        c = codes[ptr[:, :active]]
-        for a, b, shown, where in todo.get(j, ()):
-            shown[where] = c[where // bits % WALKS, a:b]
-        row = walk[j % _PERIOD]
-        for w in range(WALKS):
-            ptr[w, :active] += row[w][c[w]]
-    rows, keys = [], []
+def _keys(sig: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for k, a, b, shown in parts:
-            key = np.zeros((bands, b - a), vec.U) + (np.arange(bands, dtype=vec.U) + vec.U(k * 1000 + 1))[:, None]
-            for r in range(bits):
-                key = vec.mix(key * vec.U(0x100000001B3) + shown.reshape(bands, bits, -1)[:, r].astype(vec.U))
-            rows.append(np.broadcast_to(order[a:b], key.shape).ravel())
-            keys.append(key.ravel().view(np.int64))
-    return np.concatenate(rows), np.concatenate(keys)
+        key = np.zeros((BANDS, sig.shape[1]), vec.U) + (np.arange(BANDS, dtype=vec.U) + vec.U(salt * 1000 + 1))[:, None]
+        for r in range(ROWS):
+            key = vec.mix(key * vec.U(0x100000001B3) + sig[r * BANDS : (r + 1) * BANDS].astype(vec.U))
+    return key.view(np.int64)
+
+
+def sketched(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
+    """(row, key) of every band of every non-empty text, a row near the limit of short texts twice; each row's places, or None."""
+    rows, keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [None] * len(texts)
+    todo, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            todo.append(i)
+            size += len(t)
+        if todo and (size >= _AT_ONCE or i + 1 == len(texts)):
+            for salt, own in ((0, [i for i in todo if len(texts[i]) <= LONG]), (1, [i for i in todo if len(texts[i]) >= SHORT])):
+                if own:
+                    codes, start = _codes([texts[i] for i in own])
+                    sig = _signatures(codes, np.flatnonzero(codes) if salt == 0 else _anchors(codes, start), start)
+                    key = _keys(sig, salt)
+                    rows.append(np.broadcast_to(np.array(own), key.shape).ravel())
+                    keys.append(key.ravel())
+                    for k, i in enumerate(own):
+                        if salt and len(texts[i]) > LONG:
+                            places[i] = (_mix32(sig[:, k]) >> np.uint32(16)).astype(np.uint16).view(np.int16)
+            todo, size = [], 0
+    return np.concatenate(rows), np.concatenate(keys), places
+
+
+def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every band of every non-empty text."""
+    return sketched(texts)[:2]
+
+
+def _places(a: str) -> dict[str, int]:
+    """For every character, its places in a as bits."""
+    at = defaultdict(list)
+    for i, c in enumerate(a):
+        at[c].append(i)
+    out = {}
+    for c, own in at.items():
+        bits = np.zeros(len(a), np.uint8)
+        bits[own] = 1
+        out[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
+
+def _column(pv: int, mv: int, width: int) -> np.ndarray:
+    """The running sum of vertical differences."""
+    bits = [np.unpackbits(np.frombuffer(v.to_bytes(-(-width // 8), "little"), np.uint8), bitorder="little")[:width] for v in (pv, mv)]
+    return np.concatenate(([0], np.cumsum(bits[0].astype(np.int64) - bits[1])))
+
+
+def _distance(a: str, b: str, k: int | None = None) -> int:
+    """The edit distance, by bit-parallel columns (Myers 1999, Hyyro 2003) over the rows within k of the diagonal.
+
+    If it is over k, any number over k. Cells outside the window count as one more than their neighbours, which is
+    too much at most, and an alignment of at most k edits never leaves the window.
+    """
+    m, n = len(a), len(b)
+    k = m + n if k is None else k
+    if abs(m - n) > k or not m or not n:
+        return max(m, n)
+    places = _places(a)
+    step = max(64, k // 2)
+    top, low, base, pv, mv = 0, 0, 0, 0, 0
+    for j in range(0, n, step):
+        if j:
+            column = base + _column(pv, mv, low - top)
+            least = column + np.abs(m - n + j - np.arange(top, low + 1))
+            if least.min() > k:
+                return k + 1
+            s = max(0, j - k) - top
+            base, pv, mv, top = int(column[s]), pv >> s, mv >> s, top + s
+        end = min(m, j + step + k)
+        pv |= ((1 << (end - low)) - 1) << (low - top)
+        low = end
+        mask = (1 << (low - top)) - 1
+        seen = {}
+        for c in b[j : j + step]:
+            eq = seen.get(c)
+            if eq is None:
+                eq = seen[c] = places.get(c, 0) >> top & mask
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (mask & ~(xh | pv))
+            mh = pv & xh
+            ph = ph << 1 | 1
+            pv = ((mh << 1) | ~(xv | ph)) & mask
+            mv = ph & xv & mask
+        base += min(step, n - j)
+    return base + int(_column(pv, mv, low - top)[-1])
+
+
+def _grams(t: str, q: int) -> np.ndarray:
+    raw = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(raw) - q + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + raw[k : k + n]
+    return h
+
+
+def _at_most(a: str, b: str, k: int) -> bool | None:
+    """Whether an alignment along matches that are unique in both texts costs at most k; None if it costs more."""
+    (x, i, m), (y, j, n) = (np.unique(_grams(t, _MATCH), return_index=True, return_counts=True) for t in (a, b))
+    i, j, x, y = i[m == 1], j[n == 1], x[m == 1], y[n == 1]
+    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    order = np.argsort(i[p])
+    i, j = i[p][order], j[q][order]
+    if len(j) and (np.diff(j) < 0).any():  # the longest increasing run of places
+        ends, ids, back = [], [], []
+        for t, v in enumerate(j.tolist()):
+            s = bisect_left(ends, v)
+            back.append(ids[s - 1] if s else -1)
+            ends[s : s + 1], ids[s : s + 1] = [v], [t]
+        t, keep = ids[-1], []
+        while t >= 0:
+            keep.append(t)
+            t = back[t]
+        i, j = i[keep[::-1]], j[keep[::-1]]
+    # Runs on one diagonal are one match.
+    cut = np.flatnonzero((np.diff(i) > _MATCH) | (np.diff(i) != np.diff(j))) if len(i) else np.zeros(0, np.int64)
+    heads, tails = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(i) - 1]))
+    runs = [(int(i[h]), int(j[h]), int(i[t]) + _MATCH - int(i[h])) for h, t in zip(heads, tails)] if len(i) else []
+    pa = pb = cost = 0
+    for u, v, n in [*runs, (len(a), len(b), 0)]:
+        late = max(0, pa - u, pb - v)
+        u, v, n = u + late, v + late, n - late
+        if n < 0 or a[u : u + n] != b[v : v + n]:
+            continue
+        s, t = a[pa:u], b[pb:v]
+        cost += _distance(s, t) if max(len(s), len(t)) <= 2000 else max(len(s), len(t))
+        if cost > k:
+            return None
+        pa, pb = u + n, v + n
+    return True if (pa, pb) == (len(a), len(b)) else None
+
+
+def within(a: str, b: str) -> bool:
+    """Whether the edit distance is at most the bound: exactly, at the cost of an alignment for most pairs."""
+    k = bound(max(len(a), len(b)))
+    if abs(len(a) - len(b)) > k:
+        return False
+    # An edit changes at most q of the q-grams. Counts of hashes can only be too high.
+    (x, m), (y, n) = (np.unique(_grams(t, _Q), return_counts=True) for t in (a, b))
+    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if np.minimum(m[p], n[q]).sum() < max(len(a), len(b)) - _Q + 1 - k * _Q:
+        return False
+    return bool(_at_most(a, b, k)) or _distance(a, b, k) <= k
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [i for i in range(batch.num_rows) if within(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())]
+        yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
 
 def histogram(text: str) -> np.ndarray:
@@ -133,26 +281,24 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount((raw * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=HIST)
 
 
-def _sketch(bands: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            row, key = band_keys(texts, bands, bits)
-            order = np.argsort(row, kind="stable")
-            row, key = row[order], key[order]
-            off = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(off), pa.array(key)),
-                    pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
-                ],
-                ["doc_id", "same", "buckets", "hist"],
-            )
-
-    return run
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        row, key, places = sketched(texts)
+        order = np.argsort(row, kind="stable")
+        row, key = row[order], key[order]
+        off = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(off), pa.array(key)),
+                pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
+                pa.array(places, pa.list_(pa.int16())),
+            ],
+            ["doc_id", "same", "buckets", "hist", "places"],
+        )
 
 
-def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFrame:
+def edit_copies(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, group_id, fingerprint, keep) for every document with text.
 
     group_id: the least doc_id of its component under pairs within the edit bound; fingerprint: the document's
@@ -163,7 +309,7 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
     same = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2"))
     table = stash.put(
         given.select("doc_id", "text", same.alias("same")).mapInArrow(
-            _sketch(bands, bits), "doc_id long, same struct<h1:long,h2:long>, buckets array<long>, hist array<int>"
+            _sketch, "doc_id long, same struct<h1:long,h2:long>, buckets array<long>, hist array<int>, places array<short>"
         )
     )
     every = stash.put(
@@ -172,19 +318,25 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
     )
     firsts = stash.put(every.groupBy("same").agg(F.min("doc_id").alias("id")))
     reps = table.join(firsts, (table["doc_id"] == firsts["id"]) & (table["same"] == firsts["same"]), "left_semi").select(
-        F.col("doc_id").alias("id"), "buckets", "hist"
+        F.col("doc_id").alias("id"), "buckets", "hist", "places"
     )
-    keyed = reps.select("id", "buckets")
-    hists = stash.put(reps.select("id", "hist").dropDuplicates(["id"]))
+    # A band counts within a cell of lengths and the next one: texts within the bound are at most one cell apart.
+    length = F.aggregate("hist", F.lit(0), lambda acc, v: acc + v)
+    cell = F.floor(F.log(length.cast("double")) / F.lit(-1.001 * math.log(1 - RATIO)))
+    in_cell = lambda c: F.transform("buckets", lambda b: F.xxhash64(b, c))
+    keyed = reps.withColumn("c", cell).select("id", F.concat(in_cell(F.col("c")), in_cell(F.col("c") + 1)).alias("buckets"))
+    hists = stash.put(reps.select("id", "hist", "places").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         # An exact sieve on small rows: at most k edits move the counts by at most 2 k. Only what it leaves is read as text.
-        x = hists.select(F.col("id").alias("a"), F.col("hist").alias("ha"))
-        y = hists.select(F.col("id").alias("b"), F.col("hist").alias("hb"))
+        x = hists.select(F.col("id").alias("a"), F.col("hist").alias("ha"), F.col("places").alias("sa"))
+        y = hists.select(F.col("id").alias("b"), F.col("hist").alias("hb"), F.col("places").alias("sb"))
         total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
         moved = total(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)))
         k = F.least(F.lit(MAX_EDITS), F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO)))
-        pairs = stash.put(pairs.join(x, "a").join(y, "b").where(moved <= 2 * k).select("a", "b"))
+        agree = total(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")))
+        both = pairs.join(x, "a").join(y, "b").where(F.coalesce(agree >= MIN_AGREE, F.lit(True)))
+        pairs = stash.put(both.where(moved <= 2 * k).select("a", "b"))
         ids = stash.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
         texts = stash.put(given.join(maybe_broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -192,9 +344,7 @@ def edit_copies(docs: DataFrame, bands: int = BANDS, bits: int = BITS) -> DataFr
         both = pairs.join(x, "a").join(y, "b")
         # The work goes by length times bound, not by bytes, so pairs are spread by count before it.
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = F.greatest(F.length("ta"), F.length("tb"))
-        k = F.least(F.lit(MAX_EDITS), F.floor(n * F.lit(RATIO))).cast("int")
-        return both.withColumn("k", k).repartition(tasks).where("levenshtein(ta, tb, k) >= 0").select("a", "b")
+        return both.select("a", "b", "ta", "tb").repartition(tasks).mapInArrow(_verify, "a long, b long")
 
     out = groups(docs.sparkSession, every.select("doc_id", "same"), keyed, verified, stash)
     return out.join(every.select("doc_id", "fingerprint"), "doc_id").withColumn(

@@ -89,6 +89,28 @@ def test_band_recall_and_whole_text():
     assert set(key[row == 0]) != set(key[row == 1])
 
 
+@pytest.mark.parametrize("where", ["prefix", "suffix", "middle", "deletion"])
+def test_block_edits_share_a_band(where):
+    for share in (0.2, 0.5, 0.95):
+        hits = 0
+        for i in range(20):
+            a, block = prose(i, 1000), prose(900 + i, 1000)
+            k, m = int(share * fingerprints.bound(len(a))), len(a) // 2
+            b = {"prefix": block[:k] + a, "suffix": a + block[:k], "middle": a[:m] + block[:k] + a[m:], "deletion": a[:m] + a[m + k :]}[where]
+            row, key = fingerprints.band_keys([a, b])
+            hits += bool(set(key[row == 0]) & set(key[row == 1]))
+        assert hits >= 19
+
+
+def test_within_is_exact():
+    for i in range(40):
+        a = prose(i, 5 + 3 * i)
+        b = changed(a, i % 12, i)[i % 5 * 4 :]
+        b = b[len(b) // 2 :] + b[: len(b) // 2] if i % 7 == 0 else b
+        assert fingerprints._distance(a, b) == edit(a, b)
+        assert fingerprints.within(a, b) == (edit(a, b) <= fingerprints.bound(max(len(a), len(b))))
+
+
 def test_edit_copies_odd_rows(spark):
     got = {r["doc_id"]: r["group_id"] for r in fingerprints.edit_copies(odd(spark)).collect()}
     assert got[1] == got[2] == 1 and got[3] == 3 and got[7] == 7 and not {4, 5} & set(got)
