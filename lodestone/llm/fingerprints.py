@@ -31,8 +31,8 @@ from lodestone.llm import vec
 from lodestone.llm.groups import groups
 from lodestone.workdir import Stash, maybe_broadcast
 
-#: Two texts are copies if their edit distance is at most RATIO of the longer one's length, and at most MAX_EDITS.
-RATIO, MAX_EDITS = 0.02, 200
+#: Two texts are copies if their edit distance is at most RATIO of the longer one's length.
+RATIO = 0.1
 BANDS, ROWS, MIN_AGREE = 20, 3, 12
 #: Independent walks of STEPS steps, of which BITS are sampled; place i of the signature has walk i mod WALKS.
 WALKS, STEPS, BITS = 2, 24, 6
@@ -51,7 +51,7 @@ _MATCH, _Q = 12, 5
 
 def bound(length: int) -> int:
     """The greatest edit distance at which a text of this length still is a copy of a shorter one."""
-    return min(MAX_EDITS, int(RATIO * length))
+    return int(RATIO * length)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +333,7 @@ def edit_copies(docs: DataFrame) -> DataFrame:
         y = hists.select(F.col("id").alias("b"), F.col("hist").alias("hb"), F.col("places").alias("sb"))
         total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
         moved = total(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)))
-        k = F.least(F.lit(MAX_EDITS), F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO)))
+        k = F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO))
         agree = total(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")))
         both = pairs.join(x, "a").join(y, "b").where(F.coalesce(agree >= MIN_AGREE, F.lit(True)))
         pairs = stash.put(both.where(moved <= 2 * k).select("a", "b"))

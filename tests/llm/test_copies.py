@@ -89,6 +89,15 @@ def test_band_recall_and_whole_text():
     assert set(key[row == 0]) != set(key[row == 1])
 
 
+def test_edit_bound_of_long_and_loose_copies(spark):
+    # 3 % of a long text (more than 200 edits) and about 7 % of a short one.
+    long, short = prose(31, 6000), prose(32, 300)
+    far, loose = changed(long, 200, 1), changed(short, 24, 1)
+    assert 200 < fingerprints._distance(long, far) and 0.04 * len(short) < fingerprints._distance(short, loose) <= 0.1 * len(short)
+    got = {r["doc_id"]: r["group_id"] for r in fingerprints.edit_copies(documents(spark, [long, far, short, loose, prose(33, 300)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
 @pytest.mark.parametrize("where", ["prefix", "suffix", "middle", "deletion"])
 def test_block_edits_share_a_band(where):
     for share in (0.2, 0.5, 0.95):
