@@ -228,9 +228,8 @@ def _(spark, d):
 
 @query("parse_files")
 def _(spark, d):
-    """Every document's snippet through the parser of its path's suffix."""
-    f = b.code(spark, d).withColumn("text", F.substring("text", 1, 300))
-    p = parsers.Registry().parse(f.select("path", "language", "text"))
+    """Every document, whole and with its snippet, through the parser of its path's suffix."""
+    p = parsers.Registry().parse(b.code(spark, d).select("path", "language", "text"))
     return p.select("path", "imports", "exports", F.col("functions.name").alias("functions"), F.col("classes.name").alias("classes"), "complexity", "parse_error")
 
 
