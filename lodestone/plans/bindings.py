@@ -95,9 +95,9 @@ STAGES = f"""{EVENTS}, stages AS (
   FROM ev)"""
 
 
-def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that import and export symbols: suppliers as files, parts as symbols, from lineitem."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
+def deps(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Files that import and export symbols: suppliers as files, parts as symbols, from lineitem; its first lines, as DEPS has it, or every row."""
+    li = table(spark, sf_dir, "lineitem").where("true" if every else "l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
     return li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path")).agg(
         F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey").cast("string")))).alias("imports"),
         F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise((F.col("l_partkey") * 3).cast("string")))).alias("exports"),

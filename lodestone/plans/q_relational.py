@@ -323,10 +323,9 @@ def _(spark, d):
 
 @query("semantic_chunks")
 def _(spark, d):
-    f = b.deps(spark, d)
+    f = b.deps(spark, d, every=True)
     items = f.select("path", F.size("imports").cast("long").alias("size"))
-    few = f.withColumn("imports", F.filter("imports", lambda s: s.cast("int") % 5 == 0))
-    return chunking.semantic(spark, items, codemap.export_edges(few), 1000)
+    return chunking.semantic(spark, items, codemap.export_edges(f), 1000)
 
 
 _WINDOWS = """w AS (SELECT doc_id, (k * 256)::BIGINT AS start, CASE WHEN k < n THEN substr(text, k * 256 + 1, 1024) ELSE substr(text, k * 256 + 1) END AS piece, k = n AS is_tail
