@@ -9,9 +9,9 @@ BANDS * ROWS random orders is its signature; texts that agree on the ROWS places
 candidates' edit distance is checked on the whole texts.
 
 Defined results. In short texts every character begins a segment; texts near the limit are indexed both ways, so that
-any two texts within the bound share one; bands are compared within cells of length. Candidates of longer texts must agree on MIN_AGREE places of the signature
-too, which may lose a pair, as the bands may. Null or empty text: never a copy. A null doc_id has no row. Repeated
-rows of one doc_id are one document; if their texts differ, the greatest hash decides. Empty table: no rows. A group
+any two texts within the bound share one; bands are compared within cells of length. Candidates of longer texts must
+agree on MIN_AGREE places of the signature too, which may lose a pair, as the bands may. Null or empty text: never a copy. A null doc_id has no row. Repeated
+rows of one doc_id are one document; if their texts differ, the one of the greatest hash is sketched, compared and named. Empty table: no rows. A group
 is named by its least doc_id. Further columns are ignored.
 """
 
@@ -299,33 +299,41 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def edit_copies(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, group_id, fingerprint, keep) for every document with text.
+    """Rows (doc_id, group_id, links, fingerprint, keep) for every document with text.
 
-    group_id: the least doc_id of its component under pairs within the edit bound; fingerprint: the document's
-    band keys, as one hash; equal for equal texts.
+    group_id: the least doc_id of its component under pairs within the edit bound; links: the verified pairs that tie its
+    text to others; fingerprint: the document's band keys, as one hash; equal for equal texts.
     """
     stash = Stash(docs.sparkSession)
-    given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
     same = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2"))
+    given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''").withColumn("same", same)
     table = stash.put(
-        given.select("doc_id", "text", same.alias("same")).mapInArrow(
+        given.select("doc_id", "text", "same").mapInArrow(
             _sketch, "doc_id long, same struct<h1:long,h2:long>, buckets array<long>, hist array<int>, places array<short>"
         )
     )
-    every = stash.put(
-        table.groupBy("doc_id").agg(F.max(F.struct("same", F.xxhash64("buckets").alias("fingerprint"))).alias("m"))
-        .select("doc_id", "m.same", "m.fingerprint")
-    )
-    firsts = stash.put(every.groupBy("same").agg(F.min("doc_id").alias("id")))
-    reps = table.join(firsts, (table["doc_id"] == firsts["id"]) & (table["same"] == firsts["same"]), "left_semi").select(
-        F.col("doc_id").alias("id"), "buckets", "hist", "places"
-    )
+    # Equal texts are one, and their least doc_id stands for them. Of a doc_id's texts the greatest hash decides.
+    chosen = F.max(F.struct("same", F.xxhash64("buckets").alias("fingerprint"))).alias("m")
+    every = stash.put(table.groupBy("doc_id").agg(chosen, F.count("*").alias("rows")).select("doc_id", "m.*", "rows"))
+    firsts = stash.put(every.groupBy("same").agg(F.min(F.struct("doc_id", "rows")).alias("f")).select("same", "f.*"))
+
+    repeats = every.where("rows > 1").limit(1).count()
+
+    def one_each(df: DataFrame) -> DataFrame:
+        """``df`` (doc_id, rows, ..) without the repeats of a doc_id of several rows; the others aren't shuffled for it."""
+        if not repeats:
+            return df.drop("rows", "same")
+        return df.where("rows = 1").unionByName(df.where("rows > 1").dropDuplicates(["doc_id"])).drop("rows", "same")
+
+    first = maybe_broadcast(firsts)
     # A band counts within a cell of lengths and the next one: texts within the bound are at most one cell apart.
     length = F.aggregate("hist", F.lit(0), lambda acc, v: acc + v)
     cell = F.floor(F.log(length.cast("double")) / F.lit(-1.001 * math.log(1 - RATIO)))
     in_cell = lambda c: F.transform("buckets", lambda b: F.xxhash64(b, c))
-    keyed = reps.withColumn("c", cell).select("id", F.concat(in_cell(F.col("c")), in_cell(F.col("c") + 1)).alias("buckets"))
-    hists = stash.put(reps.select("id", "hist", "places").dropDuplicates(["id"]))
+    keyed = one_each(table.select("doc_id", "same", "buckets", cell.alias("c")).join(first, ["doc_id", "same"])).select(
+        F.col("doc_id").alias("id"), F.concat(in_cell(F.col("c")), in_cell(F.col("c") + 1)).alias("buckets")
+    )
+    hists = one_each(table.select("doc_id", "same", "hist", "places").join(first, ["doc_id", "same"])).withColumnRenamed("doc_id", "id")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # An exact sieve on small rows: at most k edits move the counts by at most 2 k. Only what it leaves is read as text.
@@ -335,20 +343,21 @@ def edit_copies(docs: DataFrame) -> DataFrame:
         moved = total(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)))
         k = F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO))
         agree = total(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")))
-        both = pairs.join(x, "a").join(y, "b").where(F.coalesce(agree >= MIN_AGREE, F.lit(True)))
-        pairs = stash.put(both.where(moved <= 2 * k).select("a", "b"))
-        ids = stash.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        texts = stash.put(given.join(maybe_broadcast(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+        small = maybe_broadcast(pairs)
+        both = y.join(small, "b").join(x, "a").where(F.coalesce(agree >= MIN_AGREE, F.lit(True)))
+        left = stash.put(both.where(moved <= 2 * k).select("a", "b"))
+        ids = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
+        some = stash.put(firsts.join(maybe_broadcast(stash.put(ids)), "doc_id"))
+        texts = one_each(given.join(maybe_broadcast(some), ["doc_id", "same"]))
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        both = pairs.join(x, "a").join(y, "b")
-        # The work goes by length times bound, not by bytes, so pairs are spread by count before it.
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return both.select("a", "b", "ta", "tb").repartition(tasks).mapInArrow(_verify, "a long, b long")
+        # Few pairs are joined to b's texts where those are read; the texts of a pair meet by a shuffle on a, split where it is skewed.
+        both = y.join(maybe_broadcast(left), "b").join(x.hint("merge"), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
     out = groups(docs.sparkSession, every.select("doc_id", "same"), keyed, verified, stash)
-    return out.join(every.select("doc_id", "fingerprint"), "doc_id").withColumn(
-        "keep", F.col("doc_id") == F.col("group_id")
+    return out.join(every.select("doc_id", "fingerprint"), "doc_id").select(
+        "doc_id", "group_id", "links", "fingerprint", (F.col("doc_id") == F.col("group_id")).alias("keep")
     )
 
 

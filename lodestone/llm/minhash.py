@@ -6,7 +6,7 @@ The bands of a signature are its candidate keys; a pair that shares one is verif
 
 Defined results. Null or wordless text: never a copy. Fewer than ``SHINGLE`` words: one shingle of all of them.
 A null doc_id can't be named, so has no row and its document stays. Repeated rows of one doc_id are one
-document; if their texts differ, the greatest shingle set's hash decides. Empty table: no rows. The group of a
+document; if their texts differ, the one whose shingle set has the greatest hash decides, in banding and verification alike. Empty table: no rows. The group of a
 document is named by its least doc_id, which is the one that stays. Further columns are ignored and, in the
 stage, kept.
 """
@@ -99,14 +99,11 @@ def _sketch(bands: int, rows: int, n: int):
                 full = np.flatnonzero(np.diff(off) > 0)
                 if not len(full):
                     continue
-                with np.errstate(over="ignore"):
-                    s1 = vec.segment_sum(vec.mix(sh + vec.U(1)), off)[full].view(np.int64)
-                    s2 = vec.segment_sum(vec.mix(sh ^ vec.U(0xABCDEF)), off)[full].view(np.int64)
                 keys = _band_keys(signatures(sh, off, bands * rows)[full], bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(full + c.lo)),
-                        pa.StructArray.from_arrays([pa.array(s1), pa.array(s2)], ["h1", "h2"]),
+                        _same(sh, off).take(pa.array(full)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
                     ],
                     ["doc_id", "same", "buckets"],
@@ -115,6 +112,13 @@ def _sketch(bands: int, rows: int, n: int):
     return run
 
 
+def _same(sh: np.ndarray, off: np.ndarray) -> pa.StructArray:
+    """A 128-bit hash of every set of a chunk."""
+    with np.errstate(over="ignore"):
+        s1, s2 = (vec.segment_sum(x, off).view(np.int64) for x in (vec.mix(sh + vec.U(1)), vec.mix(sh ^ vec.U(0xABCDEF))))
+    return pa.StructArray.from_arrays([pa.array(s1), pa.array(s2)], ["h1", "h2"])
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +128,9 @@ def _sets(n: int):
                     [
                         batch.column(0).slice(c.lo, c.n),
                         pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sh.view(np.int64))),
+                        _same(sh, off),
                     ],
-                    ["id", "sh"],
+                    ["id", "sh", "same"],
                 )
 
     return run
@@ -134,10 +139,10 @@ def _sets(n: int):
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE
 ) -> DataFrame:
-    """Rows (doc_id, group_id, keep) for every document with words: the components of pairs of Jaccard >= threshold.
+    """Rows (doc_id, group_id, links, keep) for every document with words: the components of pairs of Jaccard >= threshold.
 
     Two documents are compared if they share a band; with 25 bands of 5 rows a pair of Jaccard 0.7 does with
-    probability 0.99.
+    probability 0.99. links: the verified pairs that tie the document's set to other sets.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -147,20 +152,19 @@ def near_duplicates(
     )
     # Equal sets have Jaccard 1: the least id stands for them, and only it goes through banding.
     table = stash.put(sketched)
-    every = table.groupBy("doc_id").agg(F.max("same").alias("same"))
-    every = stash.put(every)
+    every = stash.put(table.groupBy("doc_id").agg(F.max("same").alias("same")))
     firsts = stash.put(every.groupBy("same").agg(F.min("doc_id").alias("id")))
     keyed = table.join(firsts, (table["doc_id"] == firsts["id"]) & (table["same"] == firsts["same"]), "left_semi").select(
         F.col("doc_id").alias("id"), "buckets"
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = stash.put(
-            pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        )
-        near = given.join(maybe_broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
-        sets = stash.put(near.mapInArrow(_sets(shingle), "id long, sh array<long>"))
-        one = sets.dropDuplicates(["id"])
+        ids = stash.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        near = given.join(maybe_broadcast(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        # Of a doc_id with several texts, the set that stands for it: the one that was banded.
+        chosen = stash.put(firsts.join(maybe_broadcast(ids), "id"))
+        sets = near.mapInArrow(_sets(shingle), "id long, sh array<long>, same struct<h1:long,h2:long>")
+        one = stash.put(sets.join(maybe_broadcast(chosen), ["id", "same"]).select("id", "sh")).dropDuplicates(["id"])
         x = one.select(F.col("id").alias("a"), F.col("sh").alias("sa"))
         y = one.select(F.col("id").alias("b"), F.col("sh").alias("sb"))
         both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
