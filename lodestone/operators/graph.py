@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.workdir import Stash, small
 
-from lodestone.workdir import Stash
+#: A graph of up to so many edges (two ids each) is labelled by one task; beyond it by rounds over all tasks, with the same result.
+TASK_EDGES = 1 << 20
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,20 +34,50 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, stash: Stash | None = None, rounds: int = 50) -> DataFrame:
+def labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, of nodes 0 .. n - 1."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if not any(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held)
+    ends = [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("a", "b")]
+    names, code = np.unique(np.concatenate(ends), return_inverse=True)
+    label = labels(code[: len(ends[0])], code[len(ends[0]) :], len(names))
+    kind = table.schema.field("a").type
+    yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(names[label], kind)], ["node", "component"])
+
+
+def connected_components(spark: SparkSession, edges: DataFrame, stash: Stash | None = None, rows: int = TASK_EDGES) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (a, b); a component is named by its least node.
 
     Nulls and self edges: an edge with a null end is ignored; a self edge makes its node a component of one.
-    Duplicate edges change nothing. No edges: no rows. Each round is written to the shared folder, so that
-    lineage stays short; the rounds end when every node points at its component's least node, which takes
+    Duplicate edges change nothing. No edges: no rows. More than ``rows`` edges are labelled in rounds: each is written to the shared folder, so that
+    lineage stays short; the rounds go on until every node points at its component's least node, which takes
     O(log^2 n) of them.
     """
     stash = stash or Stash(spark)
     clean = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null")
+    clean = stash.put(clean.distinct())
+    if small(clean, rows):
+        kind = clean.schema["a"].dataType
+        return clean.coalesce(1).mapInArrow(_in_one_task, T.StructType([T.StructField("node", kind), T.StructField("component", kind)]))
     nodes = clean.select(F.col("a").alias("node")).union(clean.select(F.col("b").alias("node"))).distinct()
-    now = stash.put(clean.where("a <> b").distinct())
+    now = clean.where("a <> b")
     before = None
-    for _ in range(rounds):
+    while True:
         nxt = stash.put(_star(_star(now, True), False))
         if before is not None:
             stash.drop(now)
