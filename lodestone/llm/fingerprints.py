@@ -5,14 +5,15 @@ character), so that one edit, of whatever length, disturbs the segments at its p
 through the same random function: at step j a segment shows the character under its pointer, and the pointer moves on
 if the shared random bit of (j, character) is one (the edit embedding of Chakraborty, Goldenberg and Koucky, 2016,
 restarted at every anchor). Sampled steps of a walk are a segment's sketch. The least sketch of a text under each of
-BANDS * ROWS random orders is its signature; texts that agree on the ROWS places of a band are candidates, and the
-candidates' edit distance is checked on the whole texts.
+PLACES random orders is its signature. A band samples ROWS of the places; texts that agree on them and lie in one cell of
+length, whose borders differ from band to band, are candidates if they agree on MIN_AGREE places in all. The candidates'
+edit distance is checked on the whole texts.
 
 Defined results. In short texts every character begins a segment; texts near the limit are indexed both ways, so that
-any two texts within the bound share one; bands are compared within cells of length. Candidates of longer texts must
-agree on MIN_AGREE places of the signature too, which may lose a pair, as the bands may. Null or empty text: never a copy. A null doc_id has no row. Repeated
-rows of one doc_id are one document; if their texts differ, the one of the greatest hash is sketched, compared and named. Empty table: no rows. A group
-is named by its least doc_id. Further columns are ignored.
+any two texts within the bound share one. Bands, cells and MIN_AGREE may lose a pair (tests/llm/test_copies.py measures how
+many). Null or empty text: never a copy. A null doc_id has no row. Repeated
+rows of one doc_id are one document; if their texts differ, the one of the greatest hash is sketched, compared and named.
+Empty table: no rows. A group is named by its least doc_id. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from lodestone.workdir import Stash, maybe_broadcast
 
 #: Two texts are copies if their edit distance is at most RATIO of the longer one's length.
 RATIO = 0.1
-BANDS, ROWS, MIN_AGREE = 20, 3, 12
+PLACES, BANDS, ROWS, MIN_AGREE = 60, 40, 4, 12
 #: Independent walks of STEPS steps, of which BITS are sampled; place i of the signature has walk i mod WALKS.
 WALKS, STEPS, BITS = 2, 24, 6
 #: An anchor has the least hash of GRAM characters among REACH positions either side.
@@ -47,6 +48,10 @@ _AT_ONCE = 1 << 21
 _MAX = np.uint32(0xFFFFFFFF)
 #: Characters of a verified match, and of the grams that reject.
 _MATCH, _Q = 12, 5
+#: Every band's places, and where its cells of length begin: a cell is as wide as twice the bound allows.
+_SAMPLED = [np.random.default_rng(SEED + b).choice(PLACES, ROWS, replace=False).tolist() for b in range(BANDS)]
+_SHIFT = [b * 0.6180339887 % 1 for b in range(BANDS)]
+_CELL = -2 * math.log(1 - RATIO)
 
 
 def bound(length: int) -> int:
@@ -96,12 +101,12 @@ def _anchors(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _signatures(codes: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The least sketch of each text's segments, which begin at ``at``, under each order: (BANDS * ROWS, texts)."""
+    """The least sketch of each text's segments, which begin at ``at``, under each order: (PLACES, texts)."""
     rng = np.random.default_rng(SEED)
     moves = rng.integers(0, 2, (WALKS, STEPS, 256), dtype=np.uint8)
     moves[:, :, 0] = 0  # the end of a text: the pointer stays
     looks = [set(rng.choice(STEPS, BITS, replace=False).tolist()) for _ in range(WALKS)]
-    odd, plus = (rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) for _ in range(2))
+    odd, plus = (rng.integers(0, 1 << 32, PLACES, dtype=np.uint32) for _ in range(2))
     first = np.searchsorted(at, start)
     sketches = []
     for w in range(WALKS):
@@ -112,43 +117,27 @@ def _signatures(codes: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndar
                 h = h * np.uint32(0x01000193) + c
             ptr += moves[w, j][c]
         sketches.append(_mix32(h))
-    return np.stack([np.minimum.reduceat(sketches[k % WALKS] * (odd[k] | np.uint32(1)) + plus[k], first) for k in range(BANDS * ROWS)])
+    return np.stack([np.minimum.reduceat(sketches[k % WALKS] * (odd[k] | np.uint32(1)) + plus[k], first) for k in range(PLACES)])
 
 
-def _keys(sig: np.ndarray, salt: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        key = np.zeros((BANDS, sig.shape[1]), vec.U) + (np.arange(BANDS, dtype=vec.U) + vec.U(salt * 1000 + 1))[:, None]
-        for r in range(ROWS):
-            key = vec.mix(key * vec.U(0x100000001B3) + sig[r * BANDS : (r + 1) * BANDS].astype(vec.U))
-    return key.view(np.int64)
-
-
-def sketched(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list]:
-    """(row, key) of every band of every non-empty text, a row near the limit of short texts twice; each row's places, or None."""
-    rows, keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [None] * len(texts)
+def signatures(texts: list[str]) -> tuple[list, list]:
+    """Each text's places as a short text and as a long one; None where it isn't one. A text near the limit is both."""
+    out = [None] * len(texts), [None] * len(texts)
     todo, size = [], 0
     for i, t in enumerate(texts):
         if t:
             todo.append(i)
             size += len(t)
         if todo and (size >= _AT_ONCE or i + 1 == len(texts)):
-            for salt, own in ((0, [i for i in todo if len(texts[i]) <= LONG]), (1, [i for i in todo if len(texts[i]) >= SHORT])):
+            for kind, own in ((0, [i for i in todo if len(texts[i]) <= LONG]), (1, [i for i in todo if len(texts[i]) >= SHORT])):
                 if own:
                     codes, start = _codes([texts[i] for i in own])
-                    sig = _signatures(codes, np.flatnonzero(codes) if salt == 0 else _anchors(codes, start), start)
-                    key = _keys(sig, salt)
-                    rows.append(np.broadcast_to(np.array(own), key.shape).ravel())
-                    keys.append(key.ravel())
+                    sig = _signatures(codes, np.flatnonzero(codes) if kind == 0 else _anchors(codes, start), start)
+                    places = (_mix32(sig) >> np.uint32(16)).astype(np.uint16).view(np.int16).T
                     for k, i in enumerate(own):
-                        if salt and len(texts[i]) > LONG:
-                            places[i] = (_mix32(sig[:, k]) >> np.uint32(16)).astype(np.uint16).view(np.int16)
+                        out[kind][i] = places[k]
             todo, size = [], 0
-    return np.concatenate(rows), np.concatenate(keys), places
-
-
-def band_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band of every non-empty text."""
-    return sketched(texts)[:2]
+    return out
 
 
 def _places(a: str) -> dict[str, int]:
@@ -281,42 +270,45 @@ def histogram(text: str) -> np.ndarray:
     return np.bincount((raw * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=HIST)
 
 
+SKETCH = "doc_id long, same struct<h1:long,h2:long>, hist array<int>, short array<short>, long array<short>"
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        row, key, places = sketched(texts)
-        order = np.argsort(row, kind="stable")
-        row, key = row[order], key[order]
-        off = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(off), pa.array(key)),
-                pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32())),
-                pa.array(places, pa.list_(pa.int16())),
-            ],
-            ["doc_id", "same", "buckets", "hist", "places"],
-        )
+        short, long = signatures(texts)
+        hist = pa.array([histogram(t).astype(np.int32) for t in texts], pa.list_(pa.int32()))
+        cols = [batch.column(0), batch.column(2), hist, *[pa.array(x, pa.list_(pa.int16())) for x in (short, long)]]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "same", "hist", "short", "long"])
+
+
+def _total(c):
+    return F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
+
+
+def bands(sketches: DataFrame) -> DataFrame:
+    """Rows (bucket, id) of sketches (id, hist, short, long): a key for every band."""
+    width = F.log(_total("hist").cast("double")) / F.lit(_CELL)
+    kinds = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("p")) for k, c in enumerate(("short", "long"))]), lambda x: x["p"].isNotNull())
+    each = sketches.select("id", width.alias("w"), F.explode(kinds).alias("k")).select("id", "w", "k.kind", "k.p")
+    key = lambda b: F.xxhash64(F.lit(b), "kind", F.floor(F.col("w") + F.lit(_SHIFT[b])), *[F.col("p")[i] for i in _SAMPLED[b]])
+    return each.select("id", F.explode(F.array(*[key(b) for b in range(BANDS)])).alias("bucket")).select("bucket", "id")
 
 
 def edit_copies(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, group_id, links, fingerprint, keep) for every document with text.
 
     group_id: the least doc_id of its component under pairs within the edit bound; links: the verified pairs that tie its
-    text to others; fingerprint: the document's band keys, as one hash; equal for equal texts.
+    text to others; fingerprint: the document's signature, as one hash; equal for equal texts.
     """
     stash = Stash(docs.sparkSession)
     same = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2"))
     given = docs.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''").withColumn("same", same)
-    table = stash.put(
-        given.select("doc_id", "text", "same").mapInArrow(
-            _sketch, "doc_id long, same struct<h1:long,h2:long>, buckets array<long>, hist array<int>, places array<short>"
-        )
-    )
+    table = stash.put(given.select("doc_id", "text", "same").mapInArrow(_sketch, SKETCH))
     # Equal texts are one, and their least doc_id stands for them. Of a doc_id's texts the greatest hash decides.
-    chosen = F.max(F.struct("same", F.xxhash64("buckets").alias("fingerprint"))).alias("m")
+    chosen = F.max(F.struct("same", F.xxhash64("short", "long").alias("fingerprint"))).alias("m")
     every = stash.put(table.groupBy("doc_id").agg(chosen, F.count("*").alias("rows")).select("doc_id", "m.*", "rows"))
     firsts = stash.put(every.groupBy("same").agg(F.min(F.struct("doc_id", "rows")).alias("f")).select("same", "f.*"))
-
     repeats = every.where("rows > 1").limit(1).count()
 
     def one_each(df: DataFrame) -> DataFrame:
@@ -325,26 +317,18 @@ def edit_copies(docs: DataFrame) -> DataFrame:
             return df.drop("rows", "same")
         return df.where("rows = 1").unionByName(df.where("rows > 1").dropDuplicates(["doc_id"])).drop("rows", "same")
 
-    first = maybe_broadcast(firsts)
-    # A band counts within a cell of lengths and the next one: texts within the bound are at most one cell apart.
-    length = F.aggregate("hist", F.lit(0), lambda acc, v: acc + v)
-    cell = F.floor(F.log(length.cast("double")) / F.lit(-1.001 * math.log(1 - RATIO)))
-    in_cell = lambda c: F.transform("buckets", lambda b: F.xxhash64(b, c))
-    keyed = one_each(table.select("doc_id", "same", "buckets", cell.alias("c")).join(first, ["doc_id", "same"])).select(
-        F.col("doc_id").alias("id"), F.concat(in_cell(F.col("c")), in_cell(F.col("c") + 1)).alias("buckets")
-    )
-    hists = one_each(table.select("doc_id", "same", "hist", "places").join(first, ["doc_id", "same"])).withColumnRenamed("doc_id", "id")
+    sketches = one_each(table.join(maybe_broadcast(firsts), ["doc_id", "same"])).withColumnRenamed("doc_id", "id")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # An exact sieve on small rows: at most k edits move the counts by at most 2 k. Only what it leaves is read as text.
-        x = hists.select(F.col("id").alias("a"), F.col("hist").alias("ha"), F.col("places").alias("sa"))
-        y = hists.select(F.col("id").alias("b"), F.col("hist").alias("hb"), F.col("places").alias("sb"))
-        total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
-        moved = total(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q)))
-        k = F.floor(F.greatest(total("ha"), total("hb")) * F.lit(RATIO))
-        agree = total(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")))
-        small = maybe_broadcast(pairs)
-        both = y.join(small, "b").join(x, "a").where(F.coalesce(agree >= MIN_AGREE, F.lit(True)))
+        # Sieves on small rows: places that agree, and, exactly, that k edits move the counts of characters by at most 2 k.
+        # Only what they leave is read as text.
+        ids = stash.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        known = sketches.join(maybe_broadcast(ids), "id", "left_semi")
+        x, y = (known.select(F.col("id").alias(c), *[F.col(k).alias(k + c) for k in ("hist", "short", "long")]) for c in "ab")
+        moved = _total(F.zip_with("hista", "histb", lambda p, q: F.abs(p - q)))
+        k = F.floor(F.greatest(_total("hista"), _total("histb")) * F.lit(RATIO))
+        agree = lambda c: F.coalesce(_total(F.zip_with(c + "a", c + "b", lambda p, q: (p == q).cast("int"))), F.lit(0))
+        both = pairs.join(x, "a").join(y, "b").where(F.greatest(agree("short"), agree("long")) >= MIN_AGREE)
         left = stash.put(both.where(moved <= 2 * k).select("a", "b"))
         ids = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
         some = stash.put(firsts.join(maybe_broadcast(stash.put(ids)), "doc_id"))
@@ -355,7 +339,7 @@ def edit_copies(docs: DataFrame) -> DataFrame:
         both = y.join(maybe_broadcast(left), "b").join(x.hint("merge"), "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
-    out = groups(docs.sparkSession, every.select("doc_id", "same"), keyed, verified, stash)
+    out = groups(docs.sparkSession, every.select("doc_id", "same"), bands(sketches), verified, stash)
     return out.join(every.select("doc_id", "fingerprint"), "doc_id").select(
         "doc_id", "group_id", "links", "fingerprint", (F.col("doc_id") == F.col("group_id")).alias("keep")
     )

@@ -78,15 +78,15 @@ def resolve(
 
 
 def groups(
-    spark: SparkSession, every: DataFrame, keyed: DataFrame, verified: Callable[[DataFrame], DataFrame], stash: Stash
+    spark: SparkSession, every: DataFrame, members: DataFrame, verified: Callable[[DataFrame], DataFrame], stash: Stash
 ) -> DataFrame:
     """Rows (doc_id, group_id, links) for each document of ``every`` (doc_id, same).
 
-    Documents of equal ``same`` are copies; the least stands for them. keyed: rows (id, buckets array) of those
+    Documents of equal ``same`` are copies; the least stands for them. members: rows (bucket, id) of those
     that stand. Null ``same``: no copy of anything. links: the verified pairs that tie a document's text to other texts.
     """
     reps = every.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    found = resolve(spark, keyed.select(F.explode("buckets").alias("bucket"), "id"), verified, stash)
+    found = resolve(spark, members, verified, stash)
     found = found.withColumnRenamed("id", "found")
     named = stash.put(reps.join(found, reps["rep"] == found["found"]).select("same", "root", "links"))
     # Only classes with a link are joined to the documents; the rest are named by their least doc_id.

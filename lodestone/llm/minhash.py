@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import vec
 from lodestone.llm.groups import groups
@@ -136,6 +137,20 @@ def _sets(n: int):
     return run
 
 
+def _with_set(n: int):
+    """Rows (text, row) to rows (row, hash of the text's set; null where there is none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in vec.chunks(batch.column(0)):
+                sh, off = shingle_sets(c, n)
+                full = pa.array(np.where(np.diff(off) > 0, np.arange(c.n), -1))
+                same = _same(sh, off).take(pa.compute.if_else(pa.compute.less(full, 0), None, full))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.lo, c.n), same], ["__ls_row", "__ls_same"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE
 ) -> DataFrame:
@@ -170,24 +185,31 @@ def near_duplicates(
         both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("n") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
-    out = groups(spark, every, keyed, verified, stash)
+    out = groups(spark, every, keyed.select(F.explode("buckets").alias("bucket"), "id"), verified, stash)
     return out.withColumn("keep", F.col("doc_id") == F.col("group_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those whose group has one of a lesser doc_id; rows of a null doc_id stay.
 
-    Rows that repeat a doc_id are one document, of which one row stays.
+    Rows that repeat a doc_id are one document, of which the row stays whose text stands for it.
     """
-    marks = near_duplicates(docs, **how)
+    marks = near_duplicates(docs, threshold, bands, rows, shingle)
     stash = Stash(docs.sparkSession)
     gone = stash.put(marks.where("not keep").select(F.col("doc_id").alias("__ls_id")))
     left = docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col("__ls_id"), "left_anti")
     again = stash.put(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__ls_id")))
     if not again.limit(1).count():
         return left
-    once = left.join(maybe_broadcast(again), left["doc_id"] == F.col("__ls_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(maybe_broadcast(again), left["doc_id"] == F.col("__ls_id"), "left_anti").unionByName(once)
+    # Of a repeated doc_id the row stays whose set stands for it; among equal ones that of the greatest hash.
+    many = left.join(maybe_broadcast(again), left["doc_id"] == F.col("__ls_id"), "left_semi").select(F.struct(*docs.columns).alias("__ls_row"))
+    keyed = many.select(F.col("__ls_row.text").alias("text"), "__ls_row").mapInArrow(
+        _with_set(shingle), T.StructType([*many.schema.fields, T.StructField("__ls_same", T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2")]))])
+    )
+    best = F.max_by("__ls_row", F.struct("__ls_same", F.xxhash64("__ls_row")))
+    once = keyed.groupBy("__ls_row.doc_id").agg(best.alias("__ls_row")).select("__ls_row.*")
+    rest = left.join(maybe_broadcast(again), left["doc_id"] == F.col("__ls_id"), "left_anti")
+    return rest.unionByName(once.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
