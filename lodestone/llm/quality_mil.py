@@ -6,7 +6,8 @@ Welling, 2018) weighs the passages of a document, and the weighted representatio
 and score are learned together, in numpy, from at most ``PER_CLASS`` labelled documents of either class.
 
 Defined results. The last passage of a document may be shorter. Null, empty or white text: no passage, quality 0,
-attention null. A null doc_id is carried. Repeated rows are scored each. Equal attention: the first passage is named.
+attention null. A null doc_id is carried. Repeated rows are scored each, and equal texts alike whatever
+stands next to them. Equal attention: the first passage is named.
 Empty table: no rows. Labels of one class or none: ValueError. Further columns are ignored.
 """
 
@@ -68,13 +69,13 @@ def _mean(table: np.ndarray, idx: np.ndarray, off: np.ndarray) -> np.ndarray:
 def encode(m: Model, tri, toff, pair, foff) -> tuple[np.ndarray, np.ndarray]:
     """Passage inputs and passage representations."""
     x = np.concatenate((_mean(m["Et"], tri, toff), _mean(m["Ep"], pair, foff)), axis=1)
-    return x, np.tanh(x @ m["W"] + m["b"])
+    return x, np.tanh(vec.dense(x, m["W"]) + m["b"])
 
 
 def attend(m: Model, h: np.ndarray, poff: np.ndarray) -> tuple[np.ndarray, ...]:
     """(attention, gate parts, bag representation, logit) of bags of passages."""
-    t, s = np.tanh(h @ m["V"]), sigmoid(h @ m["U"])
-    e = (t * s) @ m["a"]
+    t, s = np.tanh(vec.dense(h, m["V"])), sigmoid(vec.dense(h, m["U"]))
+    e = vec.dense(t * s, m["a"])
     full = np.flatnonzero(poff[1:] > poff[:-1])
     top = np.zeros(len(poff) - 1, np.float32)
     if len(full):
@@ -83,7 +84,7 @@ def attend(m: Model, h: np.ndarray, poff: np.ndarray) -> tuple[np.ndarray, ...]:
     w = np.exp(e - top[bag])
     a = w / np.maximum(vec.segment_sum(w, poff), 1e-12)[bag]
     z = vec.segment_sum(a[:, None] * h, poff)
-    return a, t, s, bag, z, z @ m["c"] + m["d"][0]
+    return a, t, s, bag, z, vec.dense(z, m["c"]) + m["d"][0]
 
 
 def _take(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

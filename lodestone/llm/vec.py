@@ -119,3 +119,12 @@ def char_grams(buf: np.ndarray, bits: int, off: np.ndarray | None = None) -> np.
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
     return (h >> np.uint32(32 - bits)).astype(np.int32)
+
+
+def dense(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, summed column by column: a row's result doesn't depend on its neighbours, as that of BLAS does."""
+    w = w.astype(x.dtype)
+    out = x[:, :1] * w[0] if w.ndim > 1 else x[:, 0] * w[0]
+    for j in range(1, len(w)):
+        out += x[:, j : j + 1] * w[j] if w.ndim > 1 else x[:, j] * w[j]
+    return out
