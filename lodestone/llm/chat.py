@@ -4,7 +4,8 @@ Turns of a conversation are gathered by conv_id and ordered by (turn, role, text
 template.py) is compiled once per task. ``starts`` and ``ends`` are the character spans that a model is trained to
 generate.
 
-Defined results. Null role: ``user``. Null text: empty. Null conv_id: such turns form one conversation of id null.
+Defined results. Null role: ``user``. Null text: empty. A null conv_id names no conversation: each of its turns is
+rendered by itself, so that they don't gather in one row.
 Repeated rows are rendered each. Empty table: no rows. Further columns are ignored. A template that fails on a
 conversation fails the job, as a silent gap would not be seen.
 """
@@ -57,7 +58,8 @@ def render_chats(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Rows (conv_id, text, starts, ends, n_generated), one per conversation."""
     compile_template(template)  # a wrong template fails here rather than in a task
     one = F.struct("turn", "role", "text")
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one), _order).alias("turns"))
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(one), _order).alias("turns"))
+    whole = whole.unionByName(turns.where("conv_id is null").select("conv_id", F.array(one).alias("turns")))
     out = "conv_id long, text string, starts array<long>, ends array<long>, n_generated long"
     return whole.mapInArrow(_render(template), out)
 
@@ -76,18 +78,18 @@ def _order(a, b):
 
 SQL = """
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+  SELECT conv_id, lone, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
     '<|im_start|>' || coalesce(role, 'user') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' AS body,
     coalesce(role = 'assistant', false) AS gen
-  FROM conversations),
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations)),
 p AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM t)
+    PARTITION BY conv_id, lone ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM t)
 SELECT conv_id, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
   coalesce(list(start::BIGINT ORDER BY k) FILTER (WHERE gen), []) AS starts,
   coalesce(list((start + length(body))::BIGINT ORDER BY k) FILTER (WHERE gen), []) AS ends,
   coalesce(sum(length(body)) FILTER (WHERE gen), 0)::BIGINT AS n_generated
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, lone
 """
 
 
