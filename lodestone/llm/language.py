@@ -7,7 +7,7 @@ doc_id. A text farther (1 - cosine) from all centroids than the limit of the nea
 ``und``; the limit is ``SLACK`` times the farthest distance but for the last thousandth in the sample.
 
 Defined results. Null, empty or white text is ``und`` at distance 1. A null doc_id is carried. Null ``lang``: not used for
-fitting. Ties go to the language of the lesser name. Repeated rows are answered each. Empty table: no rows. Further
+fitting. Cosines are rounded to DIGITS digits; ties go to the language of the lesser name. Repeated rows are answered each. Empty table: no rows. Further
 columns are ignored.
 """
 
@@ -27,6 +27,8 @@ PER_LANG = 600
 CENTROIDS = 3
 BITS = 12
 SLACK = 1.1
+#: Digits of a cosine; beyond them the order of summation, which depends on a text's neighbours, would show.
+DIGITS = 5
 SEED = 7
 
 
@@ -104,7 +106,7 @@ def _answer(model: Model):
             lang, dist = np.full(n, "und", object), np.ones(n)
             for c in _blocks(batch.column(1)):
                 c.words(vec.DARK)
-                cos = vectors(counts(c), model["idf"]) @ model["c"].T
+                cos = np.round(vectors(counts(c), model["idf"]) @ model["c"].T, DIGITS)
                 near = cos.argmax(axis=1)
                 d = np.clip(1 - cos[np.arange(c.n), near], 0, 1)
                 some = np.diff(c.woff) > 0

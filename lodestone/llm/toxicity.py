@@ -8,7 +8,7 @@ overlap, and cover all of a text; a document's score is its highest window's. Tr
 document's highest window. The threshold is set on the fifth of the sample that is kept from training.
 
 Defined results. A text of fewer than WINDOW words is one window. Null or wordless text: no window, score 0, not toxic,
-top_window null. A null doc_id is carried. Repeated rows are scored each; ties name the first window. Empty table: no
+top_window null. A null doc_id is carried. Repeated rows are scored each, to DIGITS digits; ties name the first window. Empty table: no
 rows. Labels of one class or none: ValueError. Further columns are kept by ``reject`` and ignored by ``score``.
 """
 
@@ -29,8 +29,8 @@ TRI_BITS = 12
 MIN_DOCS = 4
 DIM_WORD, DIM_CHAR, HIDDEN, ATT = 8, 12, 8, 8
 WARM, SHARP, BATCH = 3, 5, 128
-#: Training reads at most so many windows of a document, evenly spread; scoring reads all.
-TRAIN_WINDOWS = 60
+#: Digits of a score; beyond them the order of summation, which depends on a text's neighbours, would show.
+DIGITS = 4
 SEED = 1412
 
 
@@ -199,9 +199,7 @@ def train(table: pa.Table) -> Model:
 
     own = np.flatnonzero(~out & (count > 0))
     share = np.where(y == 1, 0.5 / max(1, (y[own] == 1).sum()), 0.5 / max(1, (y[own] == 0).sum())) * len(own)
-    # Windows of a document for training: all, or TRAIN_WINDOWS evenly spread ones.
-    spread = [first[d] + (np.arange(count[d]) if count[d] <= TRAIN_WINDOWS else np.linspace(0, count[d] - 1, TRAIN_WINDOWS).astype(int)) for d in own]
-    rows = np.concatenate(spread)
+    rows = np.concatenate([first[d] + np.arange(count[d]) for d in own])
     for epoch in range(WARM):
         opt.rate = 0.01 if epoch else 0.02
         order = rng.permutation(rows)
@@ -211,7 +209,7 @@ def train(table: pa.Table) -> Model:
         opt.rate = 0.01 * (1 - epoch / SHARP) + 0.001
         score = logits(rows)
         order = np.lexsort((-score, wdoc[rows]))
-        sizes = np.array([len(s) for s in spread])
+        sizes = count[own]
         start = np.cumsum(sizes) - sizes
         top = rows[order[start]]
         # Documents that aren't toxic also give their next highest windows: all of theirs should be low.
@@ -258,7 +256,7 @@ def _score(m: Model):
                 best[c.lo + full], top[c.lo + full] = score[at], start[at]
             none = top < 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.where(none, 0.0, sigmoid(best))), pa.array(best > m["cut"][0]), pa.array(many), pa.array(top, mask=none)],
+                [batch.column(0), pa.array(np.where(none, 0.0, np.round(sigmoid(best), DIGITS))), pa.array(best > m["cut"][0]), pa.array(many), pa.array(top, mask=none)],
                 ["doc_id", "toxicity", "toxic", "windows", "top_window"],
             )
 
