@@ -9,7 +9,7 @@ size, and the rank tells a piece its bin: a join against the table of patterns,
 of sizes only.
 
 Defined results. Null, empty or white text has no piece. Pieces hold whole words, joined by single spaces. Rows
-are ranked by (doc_id, piece, hash of the text), so repeated rows are packed each. A null doc_id is ranked first and
+are ranked by (doc_id, piece, hash of the text) within buckets, so repeated rows are packed each. A null doc_id
 comes out as null in ``doc_ids``. Empty table: no bins. Further columns are ignored.
 """
 
@@ -19,12 +19,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.workdir import Stash
+from lodestone.workdir import Stash, maybe_broadcast
 
 CAPACITY = 2048
 GRAIN = 16
-#: Ranks are counted within buckets of the doc_id's hash, so that no task sorts a whole size. The bins don't depend on it.
-RANK_BUCKETS = 256
+#: Ranks are counted within buckets of the doc_id's hash, of about so many pieces, so that no task sorts a whole size. How
+#: many bins there are, and of which patterns, doesn't depend on it.
+BUCKET_PIECES = 1 << 16
+#: A linear program of m sizes that takes more than ROUNDS * m columns is an error.
+ROUNDS = 1000
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -62,18 +65,22 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return x[:, n:]
 
 
-def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 2000) -> tuple[list[np.ndarray], np.ndarray, float]:
+def patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Patterns, how often each is used (an integer), and the bound of the linear program.
 
-    The patterns cover ``demand`` exactly.
+    The patterns cover ``demand`` exactly. Columns are added until none has a reduced cost; demands are moved apart by up
+    to a millionth of a piece, so that the program never stands still. RuntimeError if it doesn't end (ROUNDS).
     """
     m = len(sizes)
     if not m:
         return [], np.zeros(0, np.int64), 0.0
     basis = np.diag(room // sizes).astype(float)  # columns: patterns of one size each
     inverse = _inverse(basis)
-    x = (inverse * demand).sum(axis=1)
-    for step in range(rounds):
+    goal = demand + 1e-6 * (np.arange(m) + 1) / m
+    x = (inverse * goal).sum(axis=1)
+    for step in range(ROUNDS * m + 1):
+        if step == ROUNDS * m:
+            raise RuntimeError(f"column generation over {m} sizes didn't end")
         duals = inverse.sum(axis=0)
         value, column = knapsack(duals, sizes, room)
         if value <= 1 + 1e-9:
@@ -89,14 +96,14 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 200
         basis[:, out] = column
         if step % 50 == 49:
             inverse = _inverse(basis)
-            x = np.maximum((inverse * demand).sum(axis=1), 0)
+            x = np.maximum((inverse * goal).sum(axis=1), 0)
         else:
             row = inverse[out] / d[out]
             inverse = inverse - d[:, None] * row
             inverse[out] = row
-    bound = float(x.sum())
+    bound = float((inverse.sum(axis=0) * demand).sum())
     cols = [basis[:, j].round().astype(np.int64) for j in range(m)]
-    use = np.floor(x + 1e-6).astype(np.int64)
+    use = np.floor(x + 1e-5).astype(np.int64)
     left = demand - sum((c * u for c, u in zip(cols, use)), np.zeros(m, np.int64))
     for j in range(m):  # rounding may have taken a unit too much
         while (left < 0).any() and use[j] > 0 and (cols[j][left < 0] > 0).any():
@@ -145,16 +152,15 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, stash:
         "tokens", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity)
     )
     pieces = stash.put(
-        pieces.withColumn("size", F.ceil(F.col("tokens") / grain).cast("int"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_BUCKETS)).cast("int"))
-        .drop("n")
+        pieces.withColumn("size", F.ceil(F.col("tokens") / grain).cast("int")).drop("n")
     )
-    counts = pieces.groupBy("size", "bucket").agg(F.count("*").alias("c")).collect()  # at most sizes x buckets rows
-    by: dict[int, int] = {}
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r["size"], r["bucket"])):
-        offsets.append((r["size"], r["bucket"], by.get(r["size"], 0)))
-        by[r["size"]] = by.get(r["size"], 0) + r["c"]
+    buckets = max(1, -(-pieces.count() // BUCKET_PIECES))
+    # Repeated rows and a null doc_id are spread by piece and text as well.
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row_hash"), F.lit(buckets)).cast("int"))
+    counts = stash.put(pieces.groupBy("size", "bucket").agg(F.count("*").alias("c")))  # at most sizes x buckets rows
+    by = {r["size"]: r["c"] for r in counts.groupBy("size").agg(F.sum("c").alias("c")).collect()}  # at most capacity / grain
+    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("size", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
     sizes = np.array(sorted(by), np.int64)
     cols, use, _ = patterns(sizes, np.array([by[s] for s in sizes], np.int64), capacity // grain)
     # The slots of a size are cut at bucket ends by rank, not by bucket: a rank finds its slot in a sorted array.
@@ -163,9 +169,8 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, stash:
     for s, lo, hi, per, first in _slots(sizes, cols, use):
         by_size.setdefault(s, []).append((lo, hi, per, first))
     table = spark.createDataFrame(list(by_size.items()), slot)
-    start = spark.createDataFrame(offsets, "size int, bucket int, start long")
     rank = Window.partitionBy("size", "bucket").orderBy("doc_id", "piece", "row_hash")
-    ranked = pieces.withColumn("k", F.row_number().over(rank)).join(F.broadcast(start), ["size", "bucket"])
+    ranked = pieces.withColumn("k", F.row_number().over(rank)).join(maybe_broadcast(stash.put(start)), ["size", "bucket"])
     ranked = ranked.withColumn("r", F.col("start") + F.col("k") - 1).join(F.broadcast(table), "size")
     s = F.filter("slots", lambda x: (x["lo"] <= F.col("r")) & (F.col("r") < x["hi"]))[0]
     return ranked.withColumn("s", s).select(
