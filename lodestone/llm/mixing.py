@@ -2,17 +2,18 @@
 
 A document's shard is a hash of its doc_id. Within a shard and source, documents lie in a seeded order end to end;
 their tokens (words between white space) are cut into blocks of ``BLOCK_TOKENS``, and a document belongs to the
-block in which its first token falls. The i-th block of a source with weight w has the quotient w / (2i - 1);
-blocks are allocated by highest quotient until the source whose turn it is has none left, which is the largest mix
-in proportion. That gives a quota per shard and source; which of its blocks a source sends is drawn by seed.
+block in which its first token falls. The i-th block of a source with weight w has the quotient w / (2i - 1); the
+``SHARE`` of a shard's blocks are allocated by highest quotient, ties to the source of the greater name. A source that
+runs out of blocks gives its further turns to the others. That gives a quota per shard and source; which of its blocks
+a source sends is drawn by seed.
 
 By default a source's weight is the square root of its tokens over all documents (a temperature of two), so that no
 source is lost and large ones don't crowd out the rest; ``weights`` gives others.
 
 Defined results. A null source is a source of its own; null text has no tokens, and goes with the block at its
 place. Sources without a weight (None in ``weights``, or zero) get nothing. A shard without one of the sources is
-apportioned among those it has. Equal hashes are ordered by doc_id, then text. A null doc_id hashes as the word
-null. Repeated rows take their places one after another. Empty table: no rows. Further columns are kept.
+apportioned among those it has. Equal hashes are ordered by doc_id, then text. A null doc_id is placed by its
+text's hash. Repeated rows take their places one after another. Empty table: no rows. Further columns are kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from lodestone.workdir import Stash, maybe_broadcast
 BLOCK_TOKENS = 2048
 #: A shard has about so many tokens: it is the unit of which the order is sorted in one task.
 SHARD_TOKENS = 1 << 24
+#: The part of a shard's blocks that the mix has, rounded up: the target is so many tokens.
+SHARE = 0.9
 SEED = 1910
 
 
@@ -36,13 +39,13 @@ def _hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def mark(docs: DataFrame, weights: dict[str, float] | None = None, stash: Stash | None = None) -> DataFrame:
+def mark(docs: DataFrame, weights: dict[str, float] | None = None, stash: Stash | None = None, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, source, tokens, shard, block, picked, row_hash) for every row of ``docs``.
 
     row_hash tells apart the rows of one doc_id that differ in text.
     """
     stash = stash or Stash(docs.sparkSession)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
     base = stash.put(
         docs.select(
             "doc_id",
@@ -66,31 +69,22 @@ def mark(docs: DataFrame, weights: dict[str, float] | None = None, stash: Stash
     run = Window.partitionBy("shard", "source").orderBy("o", "doc_id", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     size = base.groupBy("shard", "source").agg(F.sum("tokens").alias("t"))
     have = size.select("shard", "source", F.greatest(F.lit(1), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("long").alias("n"))
-    have = stash.put(have.join(F.broadcast(weighted.select("source", "w")), "source"))
-    # The source that first runs out is the one with the highest quotient beyond its last block.
-    end = have.where("w > 0").groupBy("shard").agg(
-        F.max(F.struct((F.col("w") / (2 * F.col("n") + 1)).alias("q"), F.col("source").alias("s"))).alias("end")
-    )
-    quota = have.join(F.broadcast(end), "shard", "left").where("w > 0")
-    # Blocks whose quotient is above that end; on a tie the source of the greater name goes first.
-    x = (F.col("w") / F.col("end.q") + 1) / 2
-    guess = F.least(F.col("n"), F.greatest(F.lit(0), F.floor(x) + 2)).cast("long")
-    i = F.sequence(F.lit(1), F.greatest(F.lit(1), guess))
-    tail = F.filter(
-        F.slice(i, F.greatest(F.lit(1), F.size(i) - 4), F.lit(5)),
-        lambda k: (F.col("w") / (2 * k - 1) > F.col("end.q"))
-        | ((F.col("w") / (2 * k - 1) == F.col("end.q")) & (F.col("source") >= F.col("end.s"))),
-    )
-    quota = quota.select("shard", "source", "n", F.coalesce(F.array_max(tail), F.lit(0)).cast("long").alias("quota"))
-    blocks = quota.select("shard", "source", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    have = stash.put(have.join(maybe_broadcast(weighted.select("source", "w")), "source"))
+    # One row per block: at most as many as a shard has tokens over BLOCK_TOKENS, and one for each small source.
+    rows = have.select("shard", "source", "w", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i", "block"))
+    turn = Window.partitionBy("shard").orderBy(F.desc("q"), F.desc("source"))
+    target = F.ceil(F.count("*").over(Window.partitionBy("shard")) * F.lit(share))
+    seats = rows.withColumn("target", target).where("w > 0").withColumn("q", F.col("w") / (2 * F.col("i") + 1))
+    quota = seats.withColumn("r", F.row_number().over(turn)).where("r <= target").groupBy("shard", "source").agg(F.count("*").alias("quota"))
     drawn = F.md5(F.concat_ws(":", F.lit(f"b{SEED}"), "shard", "source", "block"))
     draw = Window.partitionBy("shard", "source").orderBy(drawn, "block")
     picked = stash.put(
-        blocks.withColumn("r", F.row_number().over(draw)).where("r <= quota").select("shard", "source", "block", F.lit(True).alias("p"))
+        rows.withColumn("r", F.row_number().over(draw)).join(maybe_broadcast(stash.put(quota)), ["shard", "source"])
+        .where("r <= quota").select("shard", "source", "block", F.lit(True).alias("p"))
     )
     placed = (
         base.withColumn("before", F.coalesce(F.sum("tokens").over(run), F.lit(0)))
-        .join(F.broadcast(have.select("shard", "source", "n")), ["shard", "source"])
+        .join(maybe_broadcast(have.select("shard", "source", "n")), ["shard", "source"])
         .withColumn("block", F.least(F.floor(F.col("before") / BLOCK_TOKENS), F.col("n") - 1).cast("long"))
     )
     return placed.join(maybe_broadcast(picked), ["shard", "source", "block"], "left").select(
@@ -114,19 +108,19 @@ SQL = f"""
 WITH b AS (
   SELECT doc_id, coalesce(source, '(null)') AS source, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::BIGINT AS tokens,
     md5(coalesce(text, '')) AS row_hash,
-    ('0x' || substr(md5('s{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h,
-    md5('o{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS o
+    ('0x' || substr(md5('s{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 8))::BIGINT AS h,
+    md5('o{SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS o
   FROM documents),
 w AS (SELECT source, sqrt(sum(tokens)::DOUBLE) AS w FROM b GROUP BY source),
 s AS (SELECT *, h % greatest(1, (SELECT ceil(sum(tokens) / {SHARD_TOKENS}.0)::BIGINT FROM b)) AS shard FROM b),
 h AS (SELECT shard, source, greatest(1, ceil(sum(tokens) / {BLOCK_TOKENS}.0)::BIGINT) AS n FROM s GROUP BY shard, source),
 q AS (
-  SELECT shard, source, i, w.w / (2 * i - 1) AS q, i > n AS beyond
-  FROM h JOIN w USING (source), generate_series(1, n + 1) g(i) WHERE w.w > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY q DESC, source DESC) AS r FROM q),
+  SELECT shard, source, w.w / (2 * i - 1) AS q, count(*) OVER (PARTITION BY shard) AS blocks
+  FROM h JOIN w USING (source), generate_series(1, n) g(i)),
 quota AS (
-  SELECT shard, source, count(*) FILTER (WHERE r.r < e.r) AS quota
-  FROM r JOIN (SELECT shard, min(r) AS r FROM r WHERE beyond GROUP BY shard) e USING (shard) GROUP BY shard, source),
+  SELECT shard, source, count(*) AS quota FROM (
+    SELECT *, row_number() OVER (PARTITION BY shard ORDER BY q DESC, source DESC) AS r FROM q WHERE q > 0)
+  WHERE r <= ceil(blocks * {SHARE}) GROUP BY shard, source),
 picked AS (
   SELECT shard, source, block FROM (
     SELECT shard, source, block, row_number() OVER (
