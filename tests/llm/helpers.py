@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators might use inside.
-CLASH = ["bucket", "pos", "line", "group_id", "keep", "shard", "block", "score", "id", "n", "w", "same", "size", "tokens"]
+CLASH = ["bucket", "h", "f", "at", "rows", "links", "root", "pos", "line", "group_id", "keep", "shard", "block", "score", "id", "n", "w", "same", "size", "tokens"]
 WORDS = [a + b for a in "ka lo mi ne pu ra si to vu we".split() for b in "ba de fi go hu ja ke li mo nu".split()]
 
 
@@ -26,9 +26,9 @@ def documents(spark, texts, first=1):
 
 
 def odd(spark):
-    """Null ids, texts and sources, empty and long texts, repeated rows and clashing columns."""
+    """Null ids, texts and sources, empty and long texts, repeated rows, a doc_id of two texts and clashing columns."""
     a, b = prose(1), prose(2)
-    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (3, b, None), (None, b, "y"), (4, None, "y"), (5, "", "y"), (6, " \n ", "y"), (7, "!!!", "z"), (8, prose(3, 60_000), "z"), (None, None, None), (9, "ka lo", "z")]
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (3, b, None), (None, b, "y"), (4, None, "y"), (5, "", "y"), (6, " \n ", "y"), (7, "!!!", "z"), (8, prose(3, 60_000), "z"), (None, None, None), (9, "ka lo", "z"), (10, prose(11), "x"), (10, prose(12), "x"), (11, prose(11), "x"), (12, prose(12), "x")]
     df = documents(spark, rows)
     out = df
     for c in CLASH:

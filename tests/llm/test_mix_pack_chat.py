@@ -1,5 +1,7 @@
 """Mixing, packing and chat templates."""
 
+import math
+
 import numpy as np
 import pytest
 from helpers import documents, empty, odd, prose
@@ -11,28 +13,34 @@ from lodestone.llm import chat, mixing, packing
 from lodestone.llm.template import TemplateError, compile_template, fold, parse
 
 
-def sainte_lague(blocks, weights):
-    """Seats by highest quotient, one after another, until the source in turn has no block."""
-    seats = dict.fromkeys(blocks, 0)
-    while True:
-        s = max((s for s in blocks if weights[s]), key=lambda s: (weights[s] / (2 * seats[s] + 1), s))
-        if seats[s] == blocks[s]:
-            return seats
-        seats[s] += 1
+def sainte_lague(blocks, weights, seats):
+    """Seats by highest quotient, one after another; a source without blocks left is passed over."""
+    have = dict.fromkeys(blocks, 0)
+    for _ in range(seats):
+        left = [s for s in blocks if weights[s] and have[s] < blocks[s]]
+        if left:
+            have[max(left, key=lambda s: (weights[s] / (2 * have[s] + 1), s))] += 1
+    return have
 
 
-def test_quotas(spark):
-    texts = [(i, prose(i, 1500), "abc"[i % 3] if i % 7 else "d") for i in range(90)]
-    weights = {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}
-    rows = mixing.mark(documents(spark, texts), weights).toPandas()
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}, {"a": 1, "b": 1, "c": 1, "d": 1}, {"a": 0.9, "b": 0.1}])
+@pytest.mark.parametrize("share", [0.3, 0.9])
+def test_quotas(spark, weights, share):
+    # Sources of 40 to 900 words a document; the second weights are ties.
+    texts = [(i, prose(i, 1500 if i % 3 else 300), "abc"[i % 3] if i % 7 else "d") for i in range(90)]
+    rows = mixing.mark(documents(spark, texts), weights, share=share).toPandas()
     have = {s: max(1, -(-int(t) // mixing.BLOCK_TOKENS)) for s, t in rows.groupby("source").tokens.sum().items()}
-    want = sainte_lague(have, weights)
+    want = sainte_lague(have, {"c": 0, "d": 0} | weights, math.ceil(sum(have.values()) * share))
     got = rows[rows.picked].groupby("source").block.nunique().to_dict()
-    assert not rows[rows.source == "d"].picked.any()
-    for s in "abc":  # a block without a first word has no row
-        assert want[s] - 3 <= got.get(s, 0) <= want[s]
-    share = rows[rows.picked].groupby("source").tokens.sum() / rows[rows.picked].tokens.sum()
-    assert abs(share["a"] - 0.5) < 0.08
+    there = rows.groupby("source").block.nunique().to_dict()
+    for s in "abcd":  # a block without a first word has no row, and may be among the drawn ones
+        assert want[s] - (have[s] - there[s]) <= got.get(s, 0) <= want[s]
+
+
+def test_a_small_source_does_not_end_the_mix(spark):
+    texts = [(i, prose(i, 1500), "ab"[i % 2]) for i in range(60)]
+    share = lambda t: mixing.mark(documents(spark, t)).selectExpr("sum(if(picked, tokens, 0)) / sum(tokens)").first()[0]
+    assert share(texts) > 0.85 and share([*texts, (99, prose(99, 20), "c")]) > 0.85
 
 
 def test_mix_odd_rows(spark):
@@ -110,9 +118,11 @@ def test_template_is_a_sandbox():
 
 
 def test_chat_odd_rows(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, None, None, None), (None, 0, "user", "x"), (1, 1, "assistant", "b"), (3, 0, "assistant", "z" * 500_000)]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, None, None, None), (None, 0, "user", "x"), (None, 0, "user", "y"), (1, 1, "assistant", "b"), (3, 0, "assistant", "z" * 500_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("messages", F.lit("x"))
-    got = {r["conv_id"]: r for r in chat.render_chats(df).collect()}
+    whole = chat.render_chats(df).collect()
+    got = {r["conv_id"]: r for r in whole}
+    assert sorted(r["text"] for r in whole if r["conv_id"] is None) == ["<|im_start|>user\nx<|im_end|>\n", "<|im_start|>user\ny<|im_end|>\n"]
     assert got[1]["text"] == "<|im_start|>user\na<|im_end|>\n" + "<|im_start|>assistant\nb<|im_end|>\n" * 2
     assert [got[1]["text"][a:b] for a, b in zip(got[1]["starts"], got[1]["ends"])] == ["b<|im_end|>"] * 2
     assert got[2]["text"] == "<|im_start|>user\n<|im_end|>\n" and None in got and got[3]["n_generated"] == 500_010
