@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 STRATEGIES = ("full", "structural", "signature", "summary")
 FORMATS = ("markdown", "json", "xml", "custom")
 CHUNKING = ("semantic", "size", "balanced")
@@ -17,6 +20,7 @@ class Config:
     shuffle_partitions: int = 200
     max_partition_bytes: int = 128 << 20
     max_files: int = 100_000
+    max_bytes: int = 1 << 30
     max_hashes: int = 100_000
     level: int = 6
     ttl_s: float = 86_400.0
@@ -25,7 +29,7 @@ class Config:
     chunking: str = "semantic"
 
     def __post_init__(self) -> None:
-        for k in ("window_bytes", "hop_bytes", "chunk_chars", "shuffle_partitions", "max_partition_bytes", "max_files", "max_hashes", "ttl_s"):
+        for k in ("window_bytes", "hop_bytes", "chunk_chars", "shuffle_partitions", "max_partition_bytes", "max_files", "max_bytes", "max_hashes", "ttl_s"):
             if getattr(self, k) <= 0:
                 raise ValueError(f"{k} is positive")
         if self.hop_bytes > self.window_bytes:
@@ -46,7 +50,7 @@ class Config:
 
 
 PRESETS = {
-    "large": Config(shuffle_partitions=4000, max_partition_bytes=256 << 20, max_files=10_000_000),
+    "large": Config(shuffle_partitions=4000, max_partition_bytes=256 << 20, max_files=1_000_000_000, max_bytes=1 << 50),
     "memory_constrained": Config(shuffle_partitions=1000, max_partition_bytes=32 << 20, max_hashes=10_000),
     "real_time": Config(level=1, shuffle_partitions=32, strategy="signature", ttl_s=300),
     "high_quality": Config(level=19, strategy="full"),
@@ -55,21 +59,39 @@ PRESETS = {
 }
 
 
+def measure(files: DataFrame) -> tuple[int, int]:
+    """(files, bytes) of rows (size_bytes, ..): what ``auto`` goes by."""
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+    return int(n), int(size)
+
+
 def auto(files: int, total_bytes: int) -> Config:
-    """A preset by corpus size."""
-    if files > 10_000 or total_bytes > 1 << 30:
+    """A preset by how many files there are and how large they are on average."""
+    if files > 100_000:
         return PRESETS["large"]
-    return PRESETS["development"] if files < 100 else Config()
+    average = total_bytes / files if files else 1024
+    return PRESETS["real_time"] if average < 10 * 1024 else PRESETS["high_quality"]
 
 
 def for_query(config: Config, **criteria) -> Config:
     """A setting that suits what is asked for."""
     if criteria.get("min_complexity", 0) > 10:
         config = replace(config, window_bytes=2 * config.window_bytes, strategy="full")
-    if criteria.get("language") == "python":
+    if criteria.get("language") in ("python", "javascript"):
         config = replace(config, strategy="structural")
-    elif criteria.get("language") in ("c", "cpp", "rust"):
+    elif criteria.get("language") in ("c", "cpp"):
         config = replace(config, strategy="signature")
     if "imports" in criteria or "exports" in criteria:
         config = replace(config, chunking="semantic")
     return config
+
+
+def constrained(config: Config, max_memory_gb: float | None = None, max_time_minutes: float | None = None, output_size_mb: float | None = None) -> Config:
+    """A setting within limits: less memory means smaller partitions, less time a lower level, less output a summary."""
+    if max_memory_gb is not None:
+        config = replace(config, max_partition_bytes=max(1 << 20, min(config.max_partition_bytes, int(max_memory_gb * (1 << 30) / 16))))
+    if max_time_minutes is not None:
+        config = replace(config, level=min(config.level, 6), chunking="size")
+    if output_size_mb is not None:
+        config = replace(config, level=12, strategy="summary")
+    return config

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[\\p{L}\\p{M}\\p{N}_]"
@@ -67,22 +68,67 @@ def basic_complexity(text: Column) -> Column:
     return (words + _count(text, r"\b(?:and|or|&&|\|\|)\b") + 1).cast("double")
 
 
-#: What counts beside the first point, by language.
-_COMPLEXITY = {
-    "javascript": [r"\bif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcase\b", r"\bcatch\b", r"\?\s*[^:]+\s*:", r"&&", r"\|\|"],
-    "go": [r"\bif\b", r"\bfor\b", r"\bcase\b", r"\bselect\b", r"&&", r"\|\|"],
-    "rust": [r"\bif\b", r"\bfor\b", r"\bwhile\b", r"\bloop\b", r"\bmatch\b", r"&&", r"\|\|", r"\?;"],
-}
+#: What counts beside the first point, by language: words, then other patterns.
+COMPLEXITY = {
+    "javascript": (("if", r"else\s+if", "for", "while", "case", "catch"), (r"\?\s*[^:]+\s*:", "&&", r"\|\|")),
+    "go": (("if", "for", "switch", "select"), ()),
+    "rust": (("if", "match", "for", "while", "loop"), ()),
+}
+COMPLEXITY["typescript"] = COMPLEXITY["javascript"]
+
+
+def complexity_patterns(language: str) -> list[str]:
+    words, others = COMPLEXITY[language]
+    return [rf"\b{w}\b" for w in words] + list(others)
 
 
 def language_complexity(text: Column, language: str) -> Column:
-    found = [_count(text, p) for p in _COMPLEXITY[language]]
+    """One, and one for every decision that the language's patterns find; an ``else if`` counts as if, too."""
     out = F.lit(1)
-    for f in found:
-        out = out + f
+    for p in complexity_patterns(language):
+        out = out + _count(text, p)
     return out.cast("double")
 
 
+_OPERATORS, _DELIMITERS, _STRINGS = r"[=<>!+\-*/&|^~%]+", r"[(){}\[\];,.:]", "'[^']*'|\"[^\"]*\"|`[^`]*`"
+#: A language's tokens after its words, in order of precedence. Rust has no string tokens: their words count.
+TOKENS = {
+    "javascript": ["=>", r"\.\.\.", r"\?\.", r"\?\?", _OPERATORS, _DELIMITERS, _STRINGS],
+    "typescript": ["<[^>]+>", r"\?\.", r"\?\?", "=>", r"\.\.\.", _OPERATORS, _DELIMITERS, f"@{WORD}+", _STRINGS],
+    "go": ["<-", ":=", r"\.\.\.", _OPERATORS, _DELIMITERS, _STRINGS],
+    "rust": ["::", "->", "=>", r"\?", r"\.\.", "&mut|&", f"'{WORD}+", _OPERATORS, _DELIMITERS],
+}
+
+
+def token_pattern(language: str) -> str:
+    return "|".join([f"{WORD}+", *TOKENS[language]])
+
+
+def _bare(text: Column, language: str) -> Column:
+    """Without the language's comments."""
+    if language == "python":
+        return F.regexp_replace(text, "(?dm)#.*$", "")
+    line = "(?<!:)//" if language in ("javascript", "typescript") else "//"
+    return F.regexp_replace(F.regexp_replace(text, f"(?dm){line}.*$", ""), r"(?s)/\*.*?\*/", "")
+
+
+def language_tokens(text: Column, language: str) -> Column:
+    """Tokens of one language's text, without comments; languages without rules of their own have the general ones."""
+    if language not in TOKENS:
+        return tokens(_bare(text, "python") if language == "python" else text)
+    return F.regexp_extract_all(_bare(text, language), F.lit(token_pattern(language)), 0)
+
+
+def count_language_tokens(text: Column, language: Column) -> Column:
+    """How many tokens each text has in its language."""
+    out = F.size(tokens(text)).cast("long")
+    out = F.when(language == "python", F.size(language_tokens(text, "python")).cast("long")).otherwise(out)
+    for name in TOKENS:
+        n = F.regexp_count(_bare(text, name), F.lit(token_pattern(name))).cast("long")
+        out = F.when(language == name, n).otherwise(out)
+    return out
+
+
 def minify(text: Column) -> Column:
     """Lines without outer white space; blank ones and those that begin with # are gone."""
     kept = F.filter(F.transform(lines(text), strip), lambda x: (x != "") & ~x.startswith("#"))
@@ -164,21 +210,29 @@ def rust_imports(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);"), 1), strip)
 
 
-#: Feature to the pattern that shows it.
+#: Language to its features, and the pattern that shows each.
 FEATURES = {
-    "generics": r"<\s*[A-Z]\w*[^>]*>|\[\s*[A-Z]\w*[^\]]*\s+any\b",
-    "decorators": r"(?m)^\s*@\w+",
-    "goroutines": r"\bgo\s+\w+",
-    "channels": r"\bchan\b|<-",
-    "unsafe": r"\bunsafe\b",
-    "async": r"\basync\b",
-    "macros": r"\bmacro_rules!|\b\w+!\s*[(\[{]",
+    "typescript": {
+        "generics": rf"<[A-Z]{WORD}*(?:\s+extends\s+{WORD}+)?>|{WORD}+<[^>]+>",
+        "decorators": rf"@{WORD}+\s*(?:\([^)]*\))?\s*(?:class|function|get|set|method)",
+    },
+    "go": {
+        "goroutines": rf"\bgo\s+{WORD}+\s*\(",
+        "channels": r"\bchan\b|<-",
+        "generics": rf"\[\s*{WORD}+\s+{WORD}+(?:\s*,\s*{WORD}+\s+{WORD}+)*\s*\]",
+    },
+    "rust": {
+        "unsafe": r"\bunsafe\s*\{",
+        "async": r"\basync\b|\bawait\b",
+        "macros": f"{WORD}+!",
+        "generics": rf"<[^>]*(?:[A-Z]{WORD}*|'{WORD}+)[^>]*>",
+    },
 }
 
 
-def features(text: Column) -> Column:
-    """Names of the features that a text shows, in the table's order."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in FEATURES.items()]), lambda x: x.isNotNull())
+def features(text: Column, language: str) -> Column:
+    """Names of the features of a language that a text shows, in the table's order."""
+    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in FEATURES[language].items()]), lambda x: x.isNotNull())
 
 
 def yaml_structure(text: Column) -> Column:
@@ -225,3 +279,33 @@ def retry_delay(attempt: Column, first: float = 1.0, base: float = 2.0, most: fl
 
 def time_until_recovery(timeout: Column, waited: Column) -> Column:
     return F.greatest(F.lit(0.0), timeout - waited)
+
+
+def vocabulary_tokens(path: str):
+    """A pandas UDF that counts a text's tokens by the vocabulary file at ``path`` (a byte-pair tokenizer's JSON), in batches.
+
+    The file is read once per worker, so it has to be there on every executor. Null: 0 tokens.
+    """
+    held: list = []
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+            held[0].encode_special_tokens = True
+        found = held[0].encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([len(e.ids) for e in found], dtype="int64")
+
+    return count
+
+
+def token_statistics(texts: DataFrame, text: str = "text") -> DataFrame:
+    """One row (tokens, words, chars, texts, average) over all texts, tokens by estimate; zeros and a null average of nothing."""
+    t = texts.select(estimate_tokens(F.col(text)).alias("t"), F.regexp_count(text, F.lit(r"\S+")).alias("w"), F.length(text).alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return t.agg(
+        total("t").alias("tokens"), total("w").alias("words"), total("n").alias("chars"), F.count("*").alias("texts"),
+        (F.sum("t").cast("double") / F.count("*")).alias("average"),
+    )

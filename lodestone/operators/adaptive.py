@@ -5,9 +5,11 @@ from __future__ import annotations
 import bz2
 import time
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def analysis(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([analyse((c or "").encode() if isinstance(c, str) or c is None else bytes(c)) for c in content])
 
 
-def choose(kind: Column, compressibility: Column, likely_compressed: Column, size: Column, load: float = 0.5) -> Column:
+def choose(kind: Column, compressibility: Column, likely_compressed: Column, size: Column, load: Column | float = 0.5) -> Column:
     """struct<codec,level> for a file: its kind's profile, then content, size and load, in that order."""
     table = F.create_map(*[x for k, (c, n, _) in PROFILES.items() for x in (F.lit(k), F.struct(F.lit(c).alias("codec"), F.lit(n).alias("level")))])
     base = F.coalesce(F.try_element_at(table, kind), F.struct(F.lit("lz4").alias("codec"), F.lit(3).alias("level")))
@@ -74,10 +76,10 @@ def choose(kind: Column, compressibility: Column, likely_compressed: Column, siz
     big, tiny = size > 10 * 1024 * 1024, size < 10 * 1024
     codec = F.when(big & codec.isin("bzip2", "brotli"), "zstd").otherwise(codec)
     level = F.when(big, F.greatest(level - 1, F.lit(1))).when(tiny, F.least(level + 1, F.lit(9))).otherwise(level)
-    if load > 0.8:
-        codec, level = F.lit("lz4"), F.lit(1)
-    elif load < 0.3:
-        codec, level = F.when(codec == "lz4", "zstd").otherwise(codec), F.least(level + 1, F.lit(9))
+    load = F.lit(load) if isinstance(load, float) else load
+    busy, idle = load > 0.8, load < 0.3
+    codec = F.when(busy, "lz4").when(idle & (codec == "lz4"), "zstd").otherwise(codec)
+    level = F.when(busy, 1).when(idle, F.least(level + 1, F.lit(9))).otherwise(level)
     none = F.struct(F.lit("none").alias("codec"), F.lit(0).alias("level"))
     return F.when(likely_compressed, none).otherwise(F.struct(codec.alias("codec"), level.alias("level")))
 
@@ -92,6 +94,18 @@ def pack(b: bytes, codec: str, level: int) -> bytes:
     return zlib.compress(b, min(9, max(1, level if codec == "zlib" or codec == "brotli" else 1)))
 
 
+def packed(b: bytes, codec: str, level: int) -> bytes:
+    """``pack``, or zlib at its fastest if the codec fails; the first byte says which: 1 as asked, 0 not."""
+    try:
+        return b"\1" + pack(b, codec, level)
+    except (zstandard.ZstdError, zlib.error, OSError, ValueError):
+        return b"\0" + zlib.compress(b, 1)
+
+
+def unpacked(b: bytes, codec: str) -> bytes:
+    return unpack(b[1:], codec) if b[0] else zlib.decompress(b[1:])
+
+
 def unpack(b: bytes, codec: str) -> bytes:
     if codec == "zstd":
         return zstandard.ZstdDecompressor().decompress(b)
@@ -100,12 +114,22 @@ def unpack(b: bytes, codec: str) -> bytes:
 
 @F.pandas_udf(T.BinaryType())
 def compress(text: pd.Series, codec: pd.Series, level: pd.Series) -> pd.Series:
-    return pd.Series([pack((t or "").encode(), c, int(n)) for t, c, n in zip(text, codec, level, strict=True)])
+    return pd.Series([packed((t or "").encode(), c, int(n)) for t, c, n in zip(text, codec, level, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def compress_bytes(data: pd.Series, codec: pd.Series, level: pd.Series) -> pd.Series:
+    return pd.Series([packed(bytes(b), c, int(n)) for b, c, n in zip(data, codec, level, strict=True)])
+
+
+@F.pandas_udf(T.BinaryType())
+def decompress_bytes(data: pd.Series, codec: pd.Series) -> pd.Series:
+    return pd.Series([unpacked(bytes(b), c) for b, c in zip(data, codec, strict=True)])
 
 
 @F.pandas_udf(S)
 def decompress(data: pd.Series, codec: pd.Series) -> pd.Series:
-    return pd.Series([unpack(bytes(b), c).decode() for b, c in zip(data, codec, strict=True)])
+    return pd.Series([unpacked(bytes(b), c).decode() for b, c in zip(data, codec, strict=True)])
 
 
 def compression_stats(rows: DataFrame) -> DataFrame:
@@ -140,14 +164,62 @@ def benchmark(texts: DataFrame, codecs: tuple[str, ...] = ("zlib", "zstd", "bzip
 
 
 def byte_frequencies(texts: DataFrame, n: int = 10) -> DataFrame:
-    """Rows (char, n): the most frequent characters over all texts."""
-    c = texts.select(F.explode(F.split("text", "")).alias("char")).where("char <> ''")
-    return c.groupBy("char").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "char").limit(n)
+    """Rows (byte, n): the most frequent bytes over all texts. Each batch sends at most 256 counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            col = batch.column(0).cast(pa.large_binary())
+            for i in range(len(col)):
+                if col[i].is_valid:
+                    total += np.bincount(np.frombuffer(col[i].as_buffer(), np.uint8), minlength=256)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["byte", "n"])
+
+    each = texts.select("text").mapInArrow(run, "byte int, n long")
+    return each.groupBy("byte").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(n)
+
+
+def entropy_of(text: str) -> float:
+    """Shannon entropy of a text's characters, in bits."""
+    _, k = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    p = k / k.sum()
+    return float(max(0.0, -(p * np.log2(p)).sum()))
 
 
 def text_entropy(texts: DataFrame) -> DataFrame:
-    """Rows (doc_id, entropy): Shannon entropy of a text's characters, in bits."""
-    c = texts.select("doc_id", F.explode(F.split("text", "")).alias("char")).where("char <> ''")
-    n = c.groupBy("doc_id", "char").agg(F.count("*").alias("k"))
-    per = n.groupBy("doc_id").agg(F.sum("k").alias("t"), F.sum(F.col("k") * F.log2("k")).alias("x"))
-    return per.select("doc_id", (F.log2("t") - F.col("x") / F.col("t")).alias("entropy"))
+    """Rows (doc_id, entropy) of every non-empty text, next to its row: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([entropy_of(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "entropy"])
+
+    return texts.where("text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, entropy double")
+
+
+def compress_files(files: DataFrame, load: float = 0.5) -> DataFrame:
+    """Rows (path, codec, level, size, packed, data): each file (path, language, text) by the codec that suits it.
+
+    Its kind, content and size choose the codec; a codec that fails is replaced by the fastest one (see ``pack``).
+    """
+    a = files.withColumn("a", analysis("text")).withColumn("size", F.octet_length("text").cast("long"))
+    chosen = choose(F.col("language"), F.col("a.compressibility"), F.col("a.likely_compressed"), F.col("size"), load)
+    packed = a.withColumn("c", chosen).select("path", "c.codec", "c.level", "size", compress("text", "c.codec", "c.level").alias("data"))
+    return packed.select("path", "codec", "level", "size", F.octet_length("data").cast("long").alias("packed"), "data")
+
+
+def compress_windows(windows: DataFrame, codec: str = "lz4", level: int = 9) -> DataFrame:
+    """``windows`` (doc_id, start, is_tail, piece) that dedup has left, with codec and data instead of the piece."""
+    data = compress_bytes("piece", F.lit(codec), F.lit(level)).alias("data")
+    return windows.select("doc_id", "start", "is_tail", F.lit(codec).alias("codec"), F.octet_length("piece").cast("long").alias("size"), data)
+
+
+def usage_totals(packed: DataFrame) -> DataFrame:
+    """Rows (codec, kind, files, size, packed) of compressed files with their kind (language): what is kept of a run's statistics."""
+    return packed.groupBy("codec", F.col("language").alias("kind")).agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.sum("packed").alias("packed"))
+
+
+def add_totals(kept: DataFrame, new: DataFrame) -> DataFrame:
+    """Totals of earlier runs and of a new one, together."""
+    n = ("files", "size", "packed")
+    return kept.unionByName(new).groupBy("codec", "kind").agg(*[F.sum(c).alias(c) for c in n])

@@ -21,6 +21,14 @@ def counts(files: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("n"), kind.alias("kind")).select("kind", F.coalesce("language", "file_type").alias("value"), "n")
 
 
+def import_counts(files: DataFrame) -> DataFrame:
+    """Rows (path, imports, imported_by): the import matrix's row and column sums, of files that have any."""
+    e = dependency_edges(files)
+    one = lambda c, k: e.groupBy(F.col(c).alias("path")).agg(F.count("*").alias(k))
+    both = one("src", "imports").join(one("dst", "imported_by"), "path", "full")
+    return both.select("path", F.coalesce("imports", F.lit(0)).alias("imports"), F.coalesce("imported_by", F.lit(0)).alias("imported_by"))
+
+
 def complexity_stats(files: DataFrame) -> DataFrame:
     c = F.when(F.col("complexity") > 0, F.col("complexity"))
     return files.agg(F.coalesce(F.avg(c), F.lit(0.0)).alias("average"), F.coalesce(F.max(c), F.lit(0.0)).alias("maximum"))
@@ -31,10 +39,10 @@ def bin_of(c: Column) -> Column:
 
 
 def complexity_histogram(files: DataFrame) -> DataFrame:
-    """Rows (bin, n) with empty bins."""
+    """Rows (bin, n) with empty bins; files of complexity 0 (without a parser) aren't counted."""
     spark = files.sparkSession
     names = spark.createDataFrame(list(enumerate(BINS)), "b int, bin string")
-    n = files.groupBy(bin_of(F.col("complexity")).alias("b")).agg(F.count("*").alias("n"))
+    n = files.where("complexity > 0").groupBy(bin_of(F.col("complexity")).alias("b")).agg(F.count("*").alias("n"))
     return F.broadcast(names).join(n, "b", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -90,25 +98,49 @@ def tree_text(files: DataFrame) -> DataFrame:
     return seq.select("path", F.concat(F.array_join(lead, ""), own, F.element_at(F.split("path", "/"), -1)).alias("line"))
 
 
-def dependency_edges(files: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst): a dependency is the stem of a file's name, or occurs in its path.
+def _grams(c: Column, q: int) -> Column:
+    """Distinct substrings of q characters."""
+    at = F.sequence(F.lit(1), F.length(c) - q + 1)
+    return F.when(F.length(c) >= q, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))
+
+
+_Q = 3
 
-    Stems are an equi-join. For substrings the distinct dependencies, not the files' rows, meet the paths.
+
+def containing(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows (dep, dst) of all names (dep) that occur in a target (dst): exact, without comparing every name with every target.
+
+    What contains a name contains all its grams of three characters (of its own length, if it is shorter). A name looks only
+    under the one of its grams that the fewest targets have.
     """
+    dep, dst = F.col("dep"), F.col("dst")
+    gram = F.explode(F.flatten(F.array(*[_grams(dst, q) for q in range(1, _Q + 1)]))).alias("gram")
+    index = targets.select("dst").distinct().select("dst", gram)
+    counted = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length(dep) >= _Q, _grams(dep, _Q)).otherwise(F.array(dep))
+    keyed = names.select("dep", F.size(own).alias("of"), F.explode(own).alias("gram")).join(counted, "gram")
+    # A gram that no target has rules its name out.
+    rare = keyed.groupBy("dep", "of").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found")).where("found = of")
+    return rare.join(index, "gram").where(dst.contains(dep)).select("dep", "dst")
+
+
+def dependency_edges(files: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst): a dependency is the stem of a file's name, or occurs in its path. Both are equi-joins."""
     dep = files.select(F.col("path").alias("src"), F.explode(F.array_distinct("imports")).alias("dep")).where("dep <> ''")
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     targets = files.select(F.col("path").alias("dst"), stem.alias("stem"))
     by_stem = dep.join(targets, F.col("dep") == F.col("stem")).select("src", "dst")
-    names = dep.select("dep").distinct()
-    inside = names.join(targets.select("dst"), F.col("dst").contains(F.col("dep")))
+    inside = containing(dep.select("dep").distinct(), targets)
     return by_stem.union(dep.join(inside, "dep").select("src", "dst")).distinct()
 
 
 def import_matrix(files: DataFrame) -> DataFrame:
-    """Rows (src, dst, imports) for all pairs of files: for reports on few files."""
+    """Rows (src, dst, imports, total) for all pairs of files, and how many of all pairs are imports: a report on few files."""
     e = dependency_edges(files).withColumn("hit", F.lit(True))
     a, b = files.select(F.col("path").alias("src")), files.select(F.col("path").alias("dst"))
-    return a.crossJoin(b).join(e, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("imports"))
+    every = a.crossJoin(b).join(e, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("imports"))
+    total = e.agg(F.count("*").alias("total"))  # one row
+    return every.join(F.broadcast(total), F.lit(True))
 
 
 def export_edges(files: DataFrame) -> DataFrame:
@@ -119,9 +151,10 @@ def export_edges(files: DataFrame) -> DataFrame:
 
 
 def module_clusters(files: DataFrame) -> DataFrame:
-    """Rows (module, n, paths): files by the first part of their module path."""
-    m = F.split("module_path", r"[./]")[0]
-    return files.groupBy(m.alias("module")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """Rows (module, n, paths): files by their module path less its last part; files of one part are in none."""
+    m = F.regexp_extract("module_path", r"^(.+)\.[^.]*$", 1)
+    named = files.where(m != "")
+    return named.groupBy(m.alias("module")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def top_importers(edges: DataFrame, n: int = 10, shown: int = 3) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
+from functools import wraps
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.schema import B, S, with_field
@@ -53,27 +57,51 @@ def system_summary(samples: DataFrame) -> DataFrame:
     )
 
 
-def bottlenecks(stages: DataFrame) -> DataFrame:
-    """Rows (stage, issue, value): slow stages, memory growth, many errors, waiting for input."""
-    per = stages.groupBy("stage").agg(
-        F.avg(F.col("end") - F.col("start")).alias("avg_s"), F.sum("errors").alias("errors"), F.avg("cpu").alias("cpu"),
-        F.max(F.col("memory_peak") - F.col("memory_start")).alias("growth"), F.max(F.col("memory_peak") / F.col("memory_start")).alias("times"),
-        (F.sum("bytes") / F.sum(F.col("end") - F.col("start"))).alias("rate"),
-    )
-    w = Window.partitionBy()  # over one row per stage name
-    top = per.withColumn("top", F.max("avg_s").over(w))
-    issue = F.array(
-        F.when(F.col("avg_s") > 0.5 * F.col("top"), F.struct(F.lit("slow_stage").alias("issue"), F.col("avg_s").alias("value"))),
-        F.when(F.col("times") > 2, F.struct(F.lit("memory_growth").alias("issue"), F.col("growth").cast("double").alias("value"))),
-        F.when(F.col("errors") > 10, F.struct(F.lit("high_error_rate").alias("issue"), F.col("errors").cast("double").alias("value"))),
-        F.when((F.col("cpu") < 50) & (F.col("rate") < 10e6), F.struct(F.lit("io_bottleneck").alias("issue"), F.col("rate").alias("value"))),
+def errors_by_stage(stages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Rows (stage, n): error points (stage_id) of known stage records, by the record's stage name.
+
+    Points are counted per stage_id before they meet the records.
+    """
+    per = errors.where("stage_id is not null").groupBy("stage_id").agg(F.count("*").alias("k"))
+    return stages.select("stage_id", "stage").join(per, "stage_id").groupBy("stage").agg(F.sum("k").alias("n"))
+
+
+def bottlenecks(stages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Rows (type, stage, severity, value, suggestion): what slows a pipeline.
+
+    slow_stage: a name whose mean duration is over half of the longest one's, which is high, the others medium. memory_growth:
+    every record whose peak is over twice its start. high_error_rate: a name with more than ten error points (stage_id).
+    io_bottleneck: one row, stage null, if records use less than half a CPU at under 10 MB/s; its value is how many.
+    """
+    per = stages.where(F.col("end").isNotNull()).groupBy("stage").agg(F.avg(F.col("end") - F.col("start")).alias("value"))
+    top = per.withColumn("top", F.max("value").over(Window.partitionBy()))  # over one row per stage name
+    slow = top.where("value > 0.5 * top").select(
+        F.lit("slow_stage").alias("type"), "stage", severity(F.col("value"), F.col("top")).alias("severity"), "value"
     )
-    each = top.select("stage", F.explode(F.filter(issue, lambda x: x.isNotNull())).alias("i"))
-    return each.select("stage", "i.issue", "i.value")
+    grown = stages.where("memory_peak > 2 * memory_start").select(
+        F.lit("memory_growth").alias("type"), "stage", F.lit("high").alias("severity"), (F.col("memory_peak") - F.col("memory_start")).cast("double").alias("value")
+    )
+    failing = errors_by_stage(stages, errors).where("n > 10").select(
+        F.lit("high_error_rate").alias("type"), "stage", F.lit("high").alias("severity"), F.col("n").cast("double").alias("value")
+    )
+    waiting = derived(stages).where((F.col("cpu") < 50) & (F.col("bytes_per_s") / (1 << 20) < 10)).agg(F.count("*").cast("double").alias("value")).where("value > 0")
+    waiting = waiting.select(F.lit("io_bottleneck").alias("type"), F.lit(None).cast("string").alias("stage"), F.lit("medium").alias("severity"), "value")
+    advice = (
+        F.when(F.col("type") == "slow_stage", F.concat(F.lit("optimise "), "stage"))
+        .when(F.col("type") == "memory_growth", F.concat(F.lit("stream or split the input of "), "stage"))
+        .when(F.col("type") == "high_error_rate", F.concat(F.lit("look into the errors of "), "stage"))
+        .otherwise("little CPU at low throughput: the input is the limit")
+    )
+    return slow.unionByName(grown).unionByName(failing).unionByName(waiting).withColumn("suggestion", advice)
+
+
+def waiting_stages(stages: DataFrame) -> DataFrame:
+    """Rows (stage, n): the records behind io_bottleneck, by name."""
+    return derived(stages).where((F.col("cpu") < 50) & (F.col("bytes_per_s") / (1 << 20) < 10)).groupBy("stage").agg(F.count("*").alias("n"))
 
 
 def severity(value: Column, top: Column) -> Column:
-    return F.when(value > 0.8 * top, "high").otherwise("medium")
+    return F.when(value == top, "high").otherwise("medium")
 
 
 def _advice(df: DataFrame, *rules: tuple[Column, str, str]) -> DataFrame:
@@ -137,6 +165,56 @@ def grafana_dashboard(metrics: list[str]) -> dict:
     return {"title": "lodestone", "panels": [{"id": i + 1, "title": m, "type": "timeseries", "targets": [{"expr": m}]} for i, m in enumerate(metrics)]}
 
 
+def percentiles(metrics: DataFrame, group: list[str], value: str = "value") -> DataFrame:
+    """Rows (group, p50, p95, mean, std): interpolated percentiles, mean and population deviation."""
+    v = F.col(value)
+    return metrics.groupBy(*group).agg(
+        F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
+    )
+
+
+def batch_size(sizes: DataFrame, group: list[str], memory: float, size: str = "value") -> DataFrame:
+    """Rows (group, batch): how many items of the mean size fit in half the memory twice over, from 1 to 1000."""
+    n = F.floor(F.lit(float(memory)) * F.lit(0.5) / (F.avg(size) * 2))
+    return sizes.groupBy(*group).agg(F.greatest(F.lit(1), F.least(F.lit(1000), n)).cast("long").alias("batch"))
+
+
+class Profiler:
+    """Wall-clock records of stages that a driver runs: a context manager per stage, or a decorator; rows for ``derived``."""
+
+    def __init__(self, enabled: bool = True):
+        self.enabled, self.records = enabled, []
+
+    @contextmanager
+    def stage(self, name: str):
+        """Records (stage_id, stage, start, end, items, bytes, errors); an error is counted and goes on."""
+        record = {"stage_id": len(self.records), "stage": name, "start": time.time(), "end": None, "items": 0, "bytes": 0, "errors": 0}
+        if self.enabled:
+            self.records.append(record)
+        try:
+            yield record
+        except Exception:
+            record["errors"] += 1
+            raise
+        finally:
+            record["end"] = time.time()
+
+    def profiled(self, name: str):
+        def wrap(f):
+            @wraps(f)
+            def run(*args, **kwargs):
+                with self.stage(name):
+                    return f(*args, **kwargs)
+
+            return run
+
+        return wrap
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        schema = "stage_id long, stage string, start double, end double, items long, bytes long, errors long"
+        return spark.createDataFrame([tuple(r.values()) for r in self.records], schema)
+
+
 def hit_rate(counts: DataFrame) -> DataFrame:
     """``counts`` (hits, misses) with the rate in percent, two places; 0 if there was no look-up."""
     n = F.col("hits") + F.col("misses")

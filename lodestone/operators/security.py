@@ -30,57 +30,64 @@ PATTERNS = [
 MAX_LINES, MAX_LINE, CHECKED_LINES = 100_000, 10_000, 1_000
 
 
+def _hit(text: Column, kind: str | None = None) -> Column:
+    """Whether any pattern of a kind occurs in a text; what a line holds, the whole text holds."""
+    out = F.lit(False)
+    for k, _, p in PATTERNS:
+        if kind in (None, k):
+            out = out | text.rlike(p)
+    return out
+
+
 def findings(files: DataFrame, key: str = "path") -> DataFrame:
-    """Rows (key, line, kind, type): at most one per pattern and line, lines from 1."""
-    at = files.select(key, F.posexplode(F.split("text", "\n", -1)).alias("i", "raw"))
+    """Rows (key, line, kind, type): at most one per pattern and line, lines from 1. Only texts with a hit are cut into lines."""
+    at = files.where(_hit(F.col("text"))).select(key, F.posexplode(F.split("text", "\n", -1)).alias("i", "raw"))
     hit = F.array(*[F.when(F.col("raw").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(t).alias("type"))) for k, t, p in PATTERNS])
     each = at.select(key, (F.col("i") + 1).cast("long").alias("line"), F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("f"))
     return each.select(key, "line", "f.kind", "f.type")
 
 
+def _verdict(text: Column, most_lines: int, most_chars: int) -> dict[str, Column]:
+    rows = F.split(text, "\n", -1)
+    n = lambda kind: F.when(_hit(text, kind), F.size(F.filter(rows, lambda x: _hit(x, kind)))).otherwise(0).cast("long")
+    return {
+        "too_many_lines": F.regexp_count(text, F.lit("\n")) + 1 > most_lines,
+        "long_line": (F.length(text) > most_chars) & F.exists(F.slice(rows, 1, CHECKED_LINES), lambda x: F.length(x) > most_chars),
+        "sensitive": n("sensitive"), "malicious": n("malicious"),
+    }
+
+
 def verdicts(files: DataFrame, key: str = "path", most_lines: int = MAX_LINES, most_chars: int = MAX_LINE) -> DataFrame:
     """Rows (key, safe, too_many_lines, long_line, sensitive, malicious): unsafe by sensitive content or too many lines."""
-    rows = F.split("text", "\n", -1)
-    n = lambda kind: F.size(F.filter(rows, lambda x: _any(x, kind)))
-    out = files.select(
-        key,
-        (F.size(rows) > most_lines).alias("too_many_lines"),
-        F.exists(F.slice(rows, 1, CHECKED_LINES), lambda x: F.length(x) > most_chars).alias("long_line"),
-        n("sensitive").cast("long").alias("sensitive"),
-        n("malicious").cast("long").alias("malicious"),
-    )
+    found = _verdict(F.col("text"), most_lines, most_chars)
+    out = files.select(key, *[c.alias(k) for k, c in found.items()])
     return out.withColumn("safe", ~((F.col("sensitive") > 0) | F.col("too_many_lines")))
 
 
-def _any(line: Column, kind: str) -> Column:
-    out = F.lit(False)
-    for k, _, p in PATTERNS:
-        if k == kind:
-            out = out | line.rlike(p)
-    return out
+@F.pandas_udf(S)
+def nfkc(s: pd.Series) -> pd.Series:
+    """Compatibility-normalised text: for paths, before they are checked."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def validate(files: DataFrame, base: str, most_lines: int = MAX_LINES) -> DataFrame:
-    """Rows (path, error, valid, warnings): path rules, then file rules, then the scan, whose findings only warn."""
-    v = verdicts(files, "path", most_lines)
-    p = F.col("path")
+    """Rows (path, error, valid, warnings): rules of the compatibility-normalised path, of the file, then the scan, whose findings only warn."""
+    p = nfkc(F.col("path"))
+    found = _verdict(F.col("text"), most_lines, MAX_LINE)
     error = F.coalesce(paths.path_error(p, base), paths.file_error(p, F.col("size")))
-    out = files.select("path", error.alias("error"), (F.col("size") == 0).alias("empty")).join(v, "path")
     warn = F.filter(
-        F.array(F.when(F.col("empty"), "empty file"), F.when(F.col("sensitive") > 0, "sensitive content"), F.when(F.col("malicious") > 0, "suspicious content"), F.when(F.col("long_line"), "line too long")),
+        F.array(
+            F.when(F.col("size") == 0, "empty file"), F.when(found["sensitive"] > 0, "sensitive content"),
+            F.when(found["malicious"] > 0, "suspicious content"), F.when(found["long_line"], "line too long"),
+        ),
         lambda x: x.isNotNull(),
-    )
-    return out.select("path", "error", F.col("error").isNull().alias("valid"), warn.alias("warnings"))
+    )
+    return files.select("path", error.alias("error"), error.isNull().alias("valid"), warn.alias("warnings"))
 
 
-@F.pandas_udf(S)
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility-normalised text: for paths, before they are checked."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
-_CALLS = {"eval", "exec", "compile", "__import__", "open"}
-_MODULES = {"os", "subprocess", "ctypes", "pickle", "marshal", "socket"}
+_CALLS = frozenset("eval exec compile open input globals locals vars dir getattr setattr delattr hasattr __import__".split())
+_OWNERS = frozenset({"os", "subprocess", "sys"})
+_MODULES = _OWNERS | frozenset("builtins imp importlib pkgutil runpy __builtin__".split())
 
 
 def _issues(text: str | None) -> list[str]:
@@ -90,12 +97,16 @@ def _issues(text: str | None) -> list[str]:
         return ["can't be parsed"]
     out = []
     for node in ast.walk(tree):
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS:
-            out.append((node.lineno, f"call of {node.func.id}"))
+        if isinstance(node, ast.Call):
+            f = node.func
+            if isinstance(f, ast.Name) and f.id in _CALLS:
+                out.append((node.lineno, f"call of {f.id}"))
+            elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id in _OWNERS:
+                out.append((node.lineno, f"call of {f.value.id}.{f.attr}"))
         elif isinstance(node, ast.Import):
-            out += [(node.lineno, f"import of {a.name}") for a in node.names if a.name.split(".")[0] in _MODULES]
-        elif isinstance(node, ast.ImportFrom) and (node.module or "").split(".")[0] in _MODULES:
-            out.append((node.lineno, f"import of {node.module}"))
+            out += [(node.lineno, f"import of {a.name}") for a in node.names if a.name in _MODULES]
+        elif isinstance(node, ast.ImportFrom) and node.module in _MODULES:
+            out.append((node.lineno, f"import from {node.module}"))
     return [f"line {n}: {m}" for n, m in sorted(out)]
 
 
@@ -105,9 +116,18 @@ def ast_issues(s: pd.Series) -> pd.Series:
     return s.map(_issues)
 
 
-def safe_json(text: Column, schema: str, most: int = 10 * 1024 * 1024) -> Column:
-    """Parsed JSON, null if it is too long or wrong."""
-    return F.when(F.length(text) <= most, F.from_json(text, schema))
+def json_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text nest, outside its strings."""
+    bare = F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    step = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), 0), lambda x: F.when(x.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deeper = lambda acc, x: F.struct((acc["now"] + x).alias("now"), F.greatest(acc["most"], acc["now"] + x).alias("most"))
+    return F.aggregate(step, start, deeper, lambda acc: acc["most"])
+
+
+def safe_json(text: Column, schema: str, most: int = 10 * 1024 * 1024, depth: int = 100) -> Column:
+    """Parsed JSON, null if it is too long, nests more than ``depth`` brackets, or is wrong."""
+    return F.when((F.length(text) <= most) & (json_depth(text) <= depth), F.from_json(text, schema))
 
 
 def admitted(calls: DataFrame, most: int = 100, window: float = 60.0) -> DataFrame:

@@ -70,29 +70,66 @@ def add(files: DataFrame, new: DataFrame) -> DataFrame:
     return latest(both, ["path"], [F.col("__new").desc(), F.col("content_hash")]).drop("__new")
 
 
+def clear(files: DataFrame) -> DataFrame:
+    """An empty store of the same columns."""
+    return files.limit(0)
+
+
+def statistics(files: DataFrame) -> DataFrame:
+    """One row: files, size, averages, languages and how many distinct symbols of each kind; files 0 and nulls if empty.
+
+    Symbols are distinct per kind by aggregation over (kind, symbol); averages are taken before symbols are exploded.
+    """
+    one = files.agg(
+        F.count("*").alias("files"), F.sum("size").alias("size"), F.avg("size").alias("avg_size"), F.avg("complexity").alias("avg_complexity"),
+        F.avg("token_count").alias("avg_tokens"), F.when(F.count("*") > 0, F.countDistinct("language")).alias("languages"),
+    )
+    n = lambda k: F.count_if(F.col("kind") == k).alias(f"unique_{k}s" if k != "class" else "unique_classes")
+    if not {"imports", "exports", "functions", "classes"} & set(files.columns):
+        return one
+    kinds = symbols(files).select("kind", "symbol").distinct().agg(*[n(k) for k in ("import", "export", "function", "class")])
+    # One row each.
+    return one.join(F.broadcast(kinds), F.lit(True))
+
+
 # Projection levels.
 
+_META = ("language", "size", "complexity", "token_count")
+
+
+def _meta(files: DataFrame) -> Column:
+    """What a projection says of its file: those of _META that there are."""
+    return F.struct(*[c for c in _META if c in files.columns]).alias("metadata")
+
+
+def _or_empty(files: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>")) if name in files.columns else F.array().cast("array<string>")
+
 
 def full(files: DataFrame) -> DataFrame:
-    return files.select("path", F.lit("full").alias("type"), tx.minify(F.col("text")).alias("content"))
+    return files.select("path", F.lit("full").alias("type"), tx.minify(F.col("text")).alias("content"), _meta(files))
 
 
 def structural(files: DataFrame) -> DataFrame:
+    """imports and exports as they are known (none if the column is missing), signatures and constants of the text."""
     t, lang = F.col("text"), F.col("language")
     return files.select(
-        "path", F.lit("structural").alias("type"), F.col("imports"), tx.function_signatures(t, lang).alias("functions"),
-        tx.class_signatures(t, lang).alias("classes"), tx.constants(t).alias("constants"),
+        "path", F.lit("structural").alias("type"), _or_empty(files, "imports").alias("imports"), _or_empty(files, "exports").alias("exports"),
+        tx.function_signatures(t, lang).alias("functions"), tx.class_signatures(t, lang).alias("classes"), tx.constants(t).alias("constants"), _meta(files),
     )
 
 
 def signature(files: DataFrame) -> DataFrame:
     t, lang = F.col("text"), F.col("language")
-    sig = F.concat(tx.function_signatures(t, lang), tx.class_signatures(t, lang))
-    return files.select("path", F.lit("signature").alias("type"), sig.alias("signatures"))
+    return files.select(
+        "path", F.lit("signature").alias("type"), tx.function_signatures(t, lang).alias("functions"), tx.class_signatures(t, lang).alias("classes"), _meta(files)
+    )
 
 
 def summary(files: DataFrame) -> DataFrame:
-    return files.select("path", F.lit("summary").alias("type"), "language", "size", "complexity", "token_count")
+    """Language, size, complexity and how many imports, exports, functions and classes a file has (0 where a column is missing)."""
+    n = lambda c: (F.coalesce(F.size(c), F.lit(0)) if c in files.columns else F.lit(0)).cast("long").alias(f"{c}_count")
+    return files.select("path", F.lit("summary").alias("type"), "language", "size", "complexity", *[n(c) for c in ("imports", "exports", "functions", "classes")])
 
 
 STRATEGIES = {"full": full, "structural": structural, "signature": signature, "summary": summary}

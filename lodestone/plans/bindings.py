@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
@@ -47,10 +47,15 @@ CODE = f"""{FILES}, code AS (
   FROM files)"""
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that filters above don't compute again: a generator of one row stands between."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files with token_count and complexity."""
     f = files(spark, sf_dir)
-    return f.withColumn("token_count", tx.count_tokens(F.col("text"))).withColumn("complexity", tx.basic_complexity(F.col("text")))
+    return once(f, token_count=tx.count_tokens(F.col("text")), complexity=tx.basic_complexity(F.col("text")))
 
 
 _W = r"[\p{L}\p{M}\p{N}_]"
@@ -61,6 +66,25 @@ MEASURED = rf"""{FILES}, measured AS (
   SELECT *, len(regexp_extract_all(text, '{TOKEN_SQL}'))::BIGINT AS token_count, {COMPLEXITY_SQL} AS complexity FROM files)"""
 
 
+_FOUND = {"exports": r"class\s+(\w+)", "functions": r"(?:def|function)\s+(\w+)", "classes": r"class\s+(\w+)"}
+JS_IMPORTS_SQL = r"""regexp_extract_all(text, 'import\s+(?:\{[^}]+\}|[*\w]+(?:\s+as\s+\w+)?)\s+from\s+[''"]([^''"]+)[''"]', 1)
+    || regexp_extract_all(text, '(?:var|let|const)\s+\w+\s*=\s*require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1)"""
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code with measures and symbols."""
+    t = F.col("text")
+    each = {k: F.regexp_extract_all(t, F.lit(p), 1) for k, p in _FOUND.items()}
+    for k in ("functions", "classes"):
+        each[k] = F.transform(each[k], lambda n: F.struct(n.alias("name")))
+    return once(code(spark, sf_dir), token_count=tx.count_tokens(t), complexity=tx.basic_complexity(t), imports=tx.javascript_imports(t), **each)
+
+
+CODED = CODE + "".join([rf""", coded AS (
+  SELECT *, length(text)::BIGINT AS size, len(regexp_extract_all(text, '{TOKEN_SQL}'))::BIGINT AS token_count, {COMPLEXITY_SQL} AS complexity, {JS_IMPORTS_SQL} AS imports""",
+  *[f", regexp_extract_all(text, '{p}', 1) AS {k}" for k, p in _FOUND.items()], " FROM code)"])
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with t, seconds since the epoch."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -95,15 +119,38 @@ STAGES = f"""{EVENTS}, stages AS (
   FROM ev)"""
 
 
-def deps(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Files that import and export symbols: suppliers as files, parts as symbols, from lineitem; its first lines, as DEPS has it, or every row."""
-    li = table(spark, sf_dir, "lineitem").where("true" if every else "l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
+def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that import and export symbols: suppliers as files, parts as symbols, from every row of lineitem."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     return li.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path")).agg(
         F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey").cast("string")))).alias("imports"),
         F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise((F.col("l_partkey") * 3).cast("string")))).alias("exports"),
     )
 
 
-DEPS = """li AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1),
+DEPS = """li AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
 imp AS (SELECT DISTINCT 's' || l_suppkey AS path, l_partkey::VARCHAR AS symbol FROM li WHERE l_partkey % 3 = 0),
 exp AS (SELECT DISTINCT 's' || l_suppkey AS path, (l_partkey * 3)::VARCHAR AS symbol FROM li WHERE l_partkey % 3 <> 0)"""
+
+#: Names of files of every kind: (name, kind, what its parser calls it, strategy).
+KINDS = [
+    ("main.py", "source", "source", "structural"), ("tests/util.py", "test", "source", "structural"), ("setup.py", "config", "source", "structural"),
+    ("README.md", "doc", "source", "summary"), ("pkg/__init__.py", "init", "source", "structural"), ("main.go", "source", "main", "structural"),
+    ("a_test.go", "test", "test", "signature"), ("main.rs", "source", "main", "structural"), ("lib.rs", "source", "library", "structural"),
+    ("mod.rs", "source", "module", "structural"), ("x.d.ts", "source", "declaration", "structural"), ("y.spec.ts", "source", "test", "signature"),
+    ("z.test.ts", "test", "test", "signature"), ("app.min.js", "source", "source", "summary"), ("conf.yaml", "source", "source", "full"),
+    ("notes.txt", "source", "source", "summary"),
+]
+
+
+def python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python modules (doc_id, path, language, text): functions, a class and calls by id, then the whole text as comments."""
+    n = F.col("doc_id")
+    each = F.transform(F.sequence(F.lit(0), (n % 4).cast("int")), lambda i: F.concat(F.lit("@wraps\ndef f"), i.cast("string"), F.lit("(a, b):\n    if a and b:\n        return [x for x in a]\n")))
+    text = F.concat(
+        F.lit("import os, json\nfrom a.b import c\nLIMIT = 1\n"), F.array_join(each, ""),
+        F.when(n % 3 == 0, F.lit("class Box(Base):\n    size: int = 1\n    def get(self):\n        return getattr(self, 'size')\n")).otherwise(F.lit("")),
+        F.when(n % 5 == 0, F.lit("x = eval('1')\nos.remove('y')\n")).otherwise(F.lit("")), F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")),
+    )
+    broken = F.when(n % 7 == 0, F.concat(F.lit("def (:\n"), text)).otherwise(text)
+    return files(spark, sf_dir).select("doc_id", F.concat(n.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), broken.alias("text"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths, text as tx
-from lodestone.operators import adaptive, chunking, codemap, incremental, store
+from lodestone.operators import adaptive, chunking, codemap, incremental, monitoring, store
 from lodestone.operators.graph import connected_components
 from lodestone.plans import bindings as b
+from lodestone.sources.files import spread
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -47,10 +48,11 @@ def _(spark, d):
 
 
 @query("complexity_histogram", f"""WITH {b.MEASURED}, b(b, bin) AS (VALUES (0, '0-5'), (1, '5-10'), (2, '10-20'), (3, '20-50'), (4, '50+')),
-n AS (SELECT CASE WHEN complexity < 5 THEN 0 WHEN complexity < 10 THEN 1 WHEN complexity < 20 THEN 2 WHEN complexity < 50 THEN 3 ELSE 4 END AS b, count(*) AS n FROM measured GROUP BY 1)
+n AS (SELECT CASE WHEN c < 5 THEN 0 WHEN c < 10 THEN 1 WHEN c < 20 THEN 2 WHEN c < 50 THEN 3 ELSE 4 END AS b, count(*) AS n FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 0 ELSE complexity * (1 + doc_id % 12) END AS c FROM measured) WHERE c > 0 GROUP BY 1)
 SELECT bin, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (b)""")
 def _(spark, d):
-    return codemap.complexity_histogram(b.measured(spark, d))
+    c = F.when(F.col("doc_id") % 9 == 0, 0.0).otherwise(F.col("complexity") * (1 + F.col("doc_id") % 12))
+    return codemap.complexity_histogram(b.measured(spark, d).withColumn("complexity", c))
 
 
 @query("largest_and_most_complex", f"""WITH {b.MEASURED}, r AS (
@@ -61,28 +63,27 @@ def _(spark, d):
     return codemap.extremes(b.measured(spark, d))
 
 
-@query("store_statistics", f"WITH {b.MEASURED} SELECT count(*) AS files, avg(size) AS avg_size, avg(complexity) AS avg_complexity, avg(token_count) AS avg_tokens, count(DISTINCT language) AS languages FROM measured")
+@query("store_statistics", f"""WITH {b.CODED} SELECT count(*) AS files, sum(size)::BIGINT AS size, avg(size) AS avg_size, avg(complexity) AS avg_complexity, avg(token_count) AS avg_tokens, count(DISTINCT language) AS languages,
+  (SELECT count(DISTINCT x) FROM (SELECT unnest(imports) AS x FROM coded)) AS unique_imports, (SELECT count(DISTINCT x) FROM (SELECT unnest(exports) AS x FROM coded)) AS unique_exports,
+  (SELECT count(DISTINCT x) FROM (SELECT unnest(functions) AS x FROM coded)) AS unique_functions, (SELECT count(DISTINCT x) FROM (SELECT unnest(classes) AS x FROM coded)) AS unique_classes FROM coded""")
 def _(spark, d):
-    return b.measured(spark, d).agg(F.count("*").alias("files"), F.avg("size").alias("avg_size"), F.avg("complexity").alias("avg_complexity"), F.avg("token_count").alias("avg_tokens"), F.countDistinct("language").alias("languages"))
+    return store.statistics(b.coded(spark, d))
 
 
-@query("token_batch", r"""WITH t AS (SELECT greatest(1, floor(len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE)::BIGINT) AS t, length(text) AS n FROM documents)
-SELECT sum(t)::BIGINT AS tokens, sum(n)::BIGINT AS chars, count(*) AS texts, sum(t)::DOUBLE / count(*) AS average FROM t""")
+@query("token_batch", r"""WITH t AS (SELECT greatest(1, floor(len(regexp_extract_all(text, '\S+')) * 1.3::DOUBLE)::BIGINT) AS t, len(regexp_extract_all(text, '\S+')) AS w, length(text) AS n FROM documents)
+SELECT sum(t)::BIGINT AS tokens, sum(w)::BIGINT AS words, sum(n)::BIGINT AS chars, count(*) AS texts, sum(t)::DOUBLE / count(*) AS average FROM t""")
 def _(spark, d):
-    t = b.files(spark, d).select(tx.estimate_tokens(F.col("text")).alias("t"), "size")
-    return t.agg(F.sum("t").alias("tokens"), F.sum("size").alias("chars"), F.count("*").alias("texts"), (F.sum("t").cast("double") / F.count("*")).alias("average"))
+    return tx.token_statistics(b.files(spark, d))
 
 
 @query("percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, avg(value) AS mean, stddev_pop(value) AS std FROM events GROUP BY 1")
 def _(spark, d):
-    g = b.table(spark, d, "events").groupBy("event_type")
-    return g.agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return monitoring.percentiles(b.table(spark, d, "events"), ["event_type"])
 
 
 @query("batch_size", "SELECT event_type, greatest(1, least(1000, floor(1e6::DOUBLE * 0.5::DOUBLE / (avg(value) * 2))))::BIGINT AS batch FROM events GROUP BY 1")
 def _(spark, d):
-    v = F.floor(F.lit(1e6) * F.lit(0.5) / (F.avg("value") * 2))
-    return b.table(spark, d, "events").groupBy("event_type").agg(F.greatest(F.lit(1), F.least(F.lit(1000), v)).cast("long").alias("batch"))
+    return monitoring.batch_size(b.table(spark, d, "events"), ["event_type"], 1e6)
 
 
 @query("dependency_counts", f"""WITH {b.DEPS} SELECT (SELECT count(DISTINCT symbol) FROM exp) AS internal, (SELECT count(DISTINCT symbol) FROM imp) AS external""")
@@ -114,12 +115,12 @@ def _(spark, d):
 
 
 @query("components", f"""WITH RECURSIVE {b.DEPS}, o AS (SELECT symbol, max(path) AS dst FROM exp GROUP BY 1),
-e AS (SELECT DISTINCT imp.path AS a, dst AS b FROM imp JOIN o USING (symbol) WHERE imp.path <> dst AND hash(0) IS NOT NULL AND imp.symbol::INT % 5 = 0),
+e AS (SELECT DISTINCT imp.path AS a, dst AS b FROM imp JOIN o USING (symbol) WHERE imp.path <> dst),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, lab) AS (SELECT a, a FROM u UNION SELECT u.b, r.lab FROM r JOIN u ON u.a = r.node)
 SELECT node, min(lab) AS component FROM r GROUP BY node""")
 def _(spark, d):
-    f = b.deps(spark, d).withColumn("imports", F.filter("imports", lambda s: s.cast("int") % 5 == 0))
+    f = b.deps(spark, d)
     return connected_components(spark, codemap.export_edges(f).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
@@ -149,17 +150,29 @@ def _(spark, d):
 
 
 @query("import_matrix", """WITH n AS (SELECT n_name || '.py' AS path, n_name AS stem, n_nationkey AS k FROM nation), f AS (SELECT path, stem, (SELECT m.stem FROM n m WHERE m.k = (n.k + 1) % 25) AS dep FROM n)
-SELECT a.path AS src, x.path AS dst, contains(x.path, a.dep) AS imports FROM f a, f x""")
+SELECT a.path AS src, x.path AS dst, contains(x.path, a.dep) AS imports, (SELECT count(*) FROM f a, f x WHERE contains(x.path, a.dep)) AS total FROM f a, f x""")
 def _(spark, d):
+    return codemap.import_matrix(_import_files(spark, d))
+
+
+def _import_files(spark, d):
     n = b.table(spark, d, "nation")
     nxt = n.select(((F.col("n_nationkey") + 24) % 25).alias("k"), F.array("n_name").alias("imports"))
-    f = n.join(F.broadcast(nxt), n["n_nationkey"] == nxt["k"]).select(F.concat("n_name", F.lit(".py")).alias("path"), "imports")
-    return codemap.import_matrix(f)
+    return n.join(F.broadcast(nxt), n["n_nationkey"] == nxt["k"]).select(F.concat("n_name", F.lit(".py")).alias("path"), "imports")
 
 
-@query("module_clusters", f"WITH {b.FILES} SELECT string_split(path, '/')[1] AS module, count(*) AS n, list(path ORDER BY path) AS paths FROM files GROUP BY 1")
+@query("import_counts", """WITH n AS (SELECT n_name || '.py' AS path, n_name AS stem, n_nationkey AS k FROM nation), f AS (SELECT path, stem, (SELECT m.stem FROM n m WHERE m.k = (n.k + 1) % 25) AS dep FROM n),
+e AS (SELECT a.path AS src, x.path AS dst FROM f a JOIN f x ON contains(x.path, a.dep)), o AS (SELECT src AS path, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS path, count(*) AS n FROM e GROUP BY 1)
+SELECT coalesce(o.path, i.path) AS path, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS imported_by FROM o FULL JOIN i ON o.path = i.path""")
 def _(spark, d):
-    return codemap.module_clusters(b.files(spark, d).withColumn("module_path", F.col("path")))
+    return codemap.import_counts(_import_files(spark, d))
+
+
+@query("module_clusters", f"""WITH {b.FILES}, m AS (SELECT path, CASE WHEN doc_id % 8 IN (0, 6) THEN regexp_replace(replace(regexp_replace(path, '\\.py$', ''), '/', '.'), '(^|\\.)__init__$', '') ELSE path END AS module FROM files)
+SELECT regexp_extract(module, '^(.+)\\.[^.]*$', 1) AS module, count(*) AS n, list(path ORDER BY path) AS paths FROM m WHERE contains(module, '.') GROUP BY 1""")
+def _(spark, d):
+    f = b.files(spark, d)
+    return codemap.module_clusters(f.withColumn("module_path", paths.module(F.col("path"), paths.language(F.col("path")))))
 
 
 @query("directory_tree", f"""WITH {b.FILES}, n AS (SELECT DISTINCT array_to_string(p[1:k], '/') AS path, array_to_string(p[1:k - 1], '/') AS parent, p[k] AS name, k::INT AS depth
@@ -169,11 +182,6 @@ def _(spark, d):
     return codemap.tree(b.files(spark, d))
 
 
-@query("directory_tree_text")
-def _(spark, d):
-    return codemap.tree_text(b.files(spark, d))
-
-
 def _snapshots(spark, d):
     now = b.files(spark, d).select("path", tx.content_hash(F.col("text")).alias("content_hash"), "doc_id")
     old = now.where("doc_id % 10 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("content_hash")))
@@ -200,9 +208,7 @@ def _(spark, d):
 SELECT 'deleted', count(*) FROM (SELECT path FROM before EXCEPT SELECT path FROM now) UNION ALL SELECT 'common', count(*) FROM (SELECT path FROM now INTERSECT SELECT path FROM before)
 UNION ALL SELECT 'all', count(*) FROM (SELECT path FROM now UNION SELECT path FROM before)""")
 def _(spark, d):
-    x, y = (s.select("path") for s in _snapshots(spark, d))
-    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
-    return one("added", x.subtract(y)).union(one("deleted", y.subtract(x))).union(one("common", x.intersect(y))).union(one("all", x.union(y).distinct()))
+    return incremental.set_changes(*_snapshots(spark, d))
 
 
 @query("merge_cached", f"WITH {_SNAP} SELECT path, h AS content_hash FROM now UNION ALL SELECT path, h FROM before WHERE path NOT IN (SELECT path FROM now)")
@@ -211,10 +217,11 @@ def _(spark, d):
     return incremental.merge(y, x)
 
 
-@query("cache_expiry", "SELECT event_id, epoch_us(TIMESTAMP '2024-01-10') / 1e6 - epoch_us(ts) / 1e6 < 86400 AS valid FROM events")
+@query("cache_expiry", "SELECT event_id, epoch_us(TIMESTAMP '2024-01-10') / 1e6 - epoch_us(ts) / 1e6 < 86400 AS valid, epoch_us(TIMESTAMP '2024-01-10') / 1e6 - epoch_us(ts) / 1e6 < 86400 AND event_id % 4 <> 0 AS usable FROM events")
 def _(spark, d):
     e = b.events(spark, d)
-    return e.select("event_id", incremental.valid(F.col("ts"), F.lit("2024-01-10").cast("timestamp"), 86400).alias("valid"))
+    now, same = F.lit("2024-01-10").cast("timestamp"), F.when(F.col("event_id") % 4 != 0, True)  # a hash that isn't known is no match
+    return e.select("event_id", incremental.valid(F.col("ts"), now, 86400).alias("valid"), incremental.valid(F.col("ts"), now, 86400, same).alias("usable"))
 
 
 @query("cache_expired", "SELECT event_id FROM events WHERE (epoch_us(TIMESTAMP '2024-01-10') - epoch_us(ts)) / 1e6 > 86400")
@@ -225,7 +232,8 @@ def _(spark, d):
 
 @query("cache_statistics", "SELECT count(*) AS entries, sum(value) / 1048576 AS mb, epoch_us(min(ts)) AS oldest_us FROM events")
 def _(spark, d):
-    return b.events(spark, d).agg(F.count("*").alias("entries"), (F.sum("value") / 1048576).alias("mb"), F.unix_micros(F.min("ts")).alias("oldest_us"))
+    c = incremental.cache_statistics(b.events(spark, d).select(F.col("value").alias("size"), F.col("ts").alias("cached_at")))
+    return c.select("entries", "mb", F.unix_micros("oldest").alias("oldest_us"))
 
 
 @query("upsert_latest", "SELECT user_id::VARCHAR AS path, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -243,10 +251,41 @@ def _(spark, d):
     return incremental.read_through(c.select("key"), c.where("key % 2 = 0"), far)
 
 
-@query("bulk_get", "SELECT c_custkey AS key, c_name AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def _kv(spark, d):
+    """Customers as a table of keys and values, and the customers of finished orders as keys."""
+    keys = b.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("key"))
+    return b.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value")), keys
+
+
+_KV = "kv AS (SELECT c_custkey AS key, c_name AS value FROM customer), k AS (SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query("bulk_get", f"WITH {_KV} SELECT * FROM kv WHERE key IN (SELECT key FROM k)")
+def _(spark, d):
+    return incremental.get_many(*_kv(spark, d))
+
+
+@query("bulk_delete", f"WITH {_KV} SELECT * FROM kv WHERE key NOT IN (SELECT key FROM k)")
 def _(spark, d):
-    keys = b.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return b.table(spark, d, "customer").join(keys, "c_custkey", "left_semi").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    return incremental.delete_many(*_kv(spark, d))
+
+
+@query("key_exists", f"WITH {_KV} SELECT DISTINCT key, key IN (SELECT key FROM kv WHERE key % 2 = 0) AS found FROM k")
+def _(spark, d):
+    kv, keys = _kv(spark, d)
+    return incremental.exists(kv.where("key % 2 = 0"), keys)
+
+
+@query("bulk_put", f"WITH {_KV}, new AS (SELECT DISTINCT key, CASE WHEN key % 5 = 0 THEN repeat('x', 99) ELSE 'n' || key END AS value FROM k) SELECT * FROM kv WHERE key NOT IN (SELECT key FROM new WHERE key % 5 <> 0) UNION ALL SELECT * FROM new WHERE key % 5 <> 0")
+def _(spark, d):
+    kv, keys = _kv(spark, d)
+    value = F.when(F.col("key") % 5 == 0, F.lit("x" * 99)).otherwise(F.concat(F.lit("n"), F.col("key").cast("string")))
+    return incremental.put_many(kv, keys.distinct().withColumn("value", value), 50)
+
+
+@query("cleared_keys", "SELECT count(*) AS n FROM part WHERE starts_with(p_name, 'a')")
+def _(spark, d):
+    return incremental.cleared(b.table(spark, d, "part").select(F.col("p_name").alias("key")), "a")
 
 
 @query("clear_prefix", "SELECT p_name AS key, p_size AS value FROM part WHERE NOT starts_with(p_name, 'a')")
@@ -315,33 +354,66 @@ def _(spark, d):
     return chunking.metadata_chunks(f, ["language"], 20000).select("language", "path", "chunk")
 
 
-@query("balanced_chunks")
+@query("balanced_chunks", f"""WITH RECURSIVE {b.MEASURED}, o AS (SELECT language, path, size, row_number() OVER (PARTITION BY language ORDER BY complexity DESC, path) AS i FROM measured),
+n AS (SELECT language, (sum(size) // 50000 + 1)::BIGINT AS n FROM measured GROUP BY 1),
+r(language, path, i, chunk, loads) AS (SELECT language, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, [0::BIGINT FOR k IN range(n)] FROM n UNION ALL
+  SELECT language, path, i, c, list_transform(loads, lambda x, k: CASE WHEN k = c THEN x + size ELSE x END)
+  FROM (SELECT o.language, o.path, o.i, o.size, r.loads, list_position(r.loads, list_min(r.loads)) AS c FROM r JOIN o ON o.language = r.language AND o.i = r.i + 1))
+SELECT language, path, (chunk - 1)::INT AS chunk FROM r WHERE i > 0""")
 def _(spark, d):
     f = b.measured(spark, d).select("language", "path", "size", "complexity")
-    return chunking.balanced(f, ["language"], 100000).select("language", "path", "chunk")
+    return chunking.balanced(f, ["language"], 50000).select("language", "path", "chunk")
 
 
 @query("semantic_chunks")
 def _(spark, d):
-    f = b.deps(spark, d, every=True)
+    f = b.deps(spark, d)
     items = f.select("path", F.size("imports").cast("long").alias("size"))
     return chunking.semantic(spark, items, codemap.export_edges(f), 1000)
 
 
-_WINDOWS = """w AS (SELECT doc_id, (k * 256)::BIGINT AS start, CASE WHEN k < n THEN substr(text, k * 256 + 1, 1024) ELSE substr(text, k * 256 + 1) END AS piece, k = n AS is_tail
-  FROM (SELECT doc_id, text, CASE WHEN length(text) >= 1024 THEN (length(text) - 1024) // 256 + 1 ELSE 0 END AS n FROM documents WHERE text <> ''), generate_series(0, n) g(k))"""
+_WINDOWS = """h AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS len FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, (k * 256)::BIGINT AS start, md5(unhex(CASE WHEN k < n THEN substr(x, k::BIGINT * 512 + 1, 2048) ELSE substr(x, k::BIGINT * 512 + 1) END)) AS hash, k = n AS is_tail
+  FROM (SELECT *, CASE WHEN len >= 1024 THEN (len - 1024) // 256 + 1 ELSE 0 END AS n FROM h), generate_series(0, n) g(k) WHERE k < n OR k * 256 < len)"""
+
+
+def _windows(spark, d):
+    return chunking.byte_windows(spread(b.table(spark, d, "documents").select("doc_id", "text")), 1024, 256)
+
+
+@query("byte_windows", f"WITH {_WINDOWS} SELECT doc_id, start, hash, is_tail FROM w")
+def _(spark, d):
+    return _windows(spark, d)
+
+
+@query("window_dedup", f"WITH {_WINDOWS} SELECT doc_id, start, is_tail FROM w WHERE NOT is_tail QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, start) = 1 UNION ALL SELECT doc_id, start, is_tail FROM w WHERE is_tail")
+def _(spark, d):
+    return chunking.dedup_windows(_windows(spark, d)).select("doc_id", "start", "is_tail")
+
+
+@query("dedup_statistics", f"WITH {_WINDOWS} SELECT count(*) AS windows, count(DISTINCT hash) AS hashes, count(*) - count(DISTINCT hash) AS duplicates, 100000 AS max_hashes, least(count(DISTINCT hash), 100000) * 100.0::DOUBLE / 100000 AS utilization FROM w WHERE NOT is_tail")
+def _(spark, d):
+    return chunking.dedup_statistics(_windows(spark, d))
+
+
+@query("lru_windows", f"WITH {_WINDOWS} SELECT doc_id, start, is_tail OR row_number() OVER (PARTITION BY source, is_tail, hash ORDER BY doc_id, start) = 1 AS kept FROM w JOIN documents USING (doc_id)")
+def _(spark, d):
+    docs = b.table(spark, d, "documents").select("doc_id", "source")
+    return chunking.lru_windows(_windows(spark, d).join(docs, "doc_id"), ["source"], 10_000_000).select("doc_id", "start", "kept")
 
 
-@query("byte_windows", f"WITH {_WINDOWS} SELECT doc_id, start, md5(piece) AS hash, is_tail FROM w WHERE piece <> ''")
+@query("compressed_windows", f"WITH {_WINDOWS}, k AS (SELECT w.* FROM w WHERE NOT is_tail QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, start) = 1 UNION ALL SELECT w.* FROM w WHERE is_tail) SELECT doc_id, start, least(1024, octet_length(encode(text)) - start) AS size, hash AS body FROM k JOIN documents USING (doc_id)")
 def _(spark, d):
-    w = chunking.byte_windows(b.table(spark, d, "documents"), 1024, 256)
-    return w.select("doc_id", "start", F.md5("piece").alias("hash"), "is_tail")
+    w = chunking.byte_windows(spread(b.table(spark, d, "documents").select("doc_id", "text")), 1024, 256, pieces=True)
+    packed = adaptive.compress_windows(chunking.dedup_windows(w))
+    return packed.select("doc_id", "start", "size", F.md5(adaptive.decompress_bytes("data", "codec")).alias("body"))
 
 
-@query("window_dedup", f"WITH {_WINDOWS}, x AS (SELECT doc_id, start, md5(piece) AS hash, is_tail FROM w WHERE piece <> '') SELECT doc_id, start, is_tail FROM x WHERE NOT is_tail QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, start) = 1 UNION ALL SELECT doc_id, start, is_tail FROM x WHERE is_tail")
+@query("usage_totals", "SELECT p_brand AS codec, p_type AS kind, 2 * count(*) AS files, 2 * sum(p_size)::BIGINT AS size, 2 * sum(p_partkey)::BIGINT AS packed FROM part GROUP BY 1, 2")
 def _(spark, d):
-    w = chunking.byte_windows(b.table(spark, d, "documents"), 1024, 256)
-    return chunking.dedup_windows(w).select("doc_id", "start", "is_tail")
+    p = b.table(spark, d, "part").select(F.col("p_brand").alias("codec"), F.col("p_type").alias("language"), F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("packed"))
+    run = adaptive.usage_totals(p)
+    return adaptive.add_totals(run, run)
 
 
 @query("stream_union", "SELECT page_id AS id, length(html)::BIGINT AS n FROM pages UNION ALL SELECT item_id, length(text) FROM benchmark")

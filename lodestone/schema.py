@@ -20,12 +20,12 @@ def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructTyp
 #: One shape for the functions of all languages; a language leaves what it lacks null.
 FUNCTION = row(
     name=S, args=STRINGS, decorators=STRINGS, docstring=S, is_async=B, is_generator=B, line_number=I, complexity=I,
-    return_type=S, receiver=S, is_exported=B,
+    return_type=S, receiver=S, is_exported=B, flags=STRINGS,
 )
 #: One shape for classes, interfaces, structs, enums and traits.
 CLASS = row(
-    name=S, type=S, bases=STRINGS, decorators=STRINGS, docstring=S, methods=T.ArrayType(row(name=S, is_async=B, is_property=B)),
-    attributes=STRINGS, line_number=I, is_exported=B,
+    name=S, type=S, bases=STRINGS, implements=STRINGS, decorators=STRINGS, docstring=S, methods=T.ArrayType(row(name=S, is_async=B, is_property=B)),
+    attributes=T.ArrayType(row(name=S, type=S)), line_number=I, is_exported=B, flags=STRINGS,
 )
 FILE = row(
     path=S, size=L, language=S, last_modified=T.TimestampType(), content_hash=S, imports=STRINGS, exports=STRINGS,

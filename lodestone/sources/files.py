@@ -19,8 +19,9 @@ class LimitExceeded(ValueError):
 
 
 def decode(content: Column) -> Column:
-    """UTF-8 text of bytes; what isn't UTF-8 is left out."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 text of bytes; what isn't UTF-8 is left out (and with it, in such a text only, the replacement character)."""
+    raw = content.cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
 
 
 def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -33,10 +34,12 @@ def scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     return raw.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), decode(F.col("content")).alias("text")).withColumn("size", F.length("text").cast("long"))
 
 
-def guard(files: DataFrame, most_files: int = MAX_FILES, most_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
-    """``files`` if it keeps within the limits; else LimitExceeded. Reads sizes only."""
+def guard(files: DataFrame, most_files: int = MAX_FILES, most_bytes: int = MAX_TOTAL_BYTES, strict: bool = True) -> DataFrame:
+    """``files`` if it keeps within the limits; else LimitExceeded, or no rows if not ``strict``. Reads sizes only."""
     n, size = files.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
     if n > most_files or size > most_bytes:
+        if not strict:
+            return files.limit(0)
         raise LimitExceeded(f"{n} files of {size} bytes; the limits are {most_files} and {most_bytes}")
     return files
 
@@ -84,8 +87,12 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str, fmt: str = "text") -> None:
-    """One folder per chunk, its lines in order: rows (chunk, position, rendered)."""
+def write_chunks(chunks: DataFrame, path: str, fmt: str = "text", header: DataFrame | None = None) -> None:
+    """One folder per chunk, its lines in order: rows (chunk, position, rendered). header: one row (value) before chunk 0."""
+    if header is not None:
+        kinds = {f.name: f.dataType for f in chunks.schema}
+        first = header.select(F.lit(0).cast(kinds["chunk"]).alias("chunk"), F.lit(-2).cast(kinds["position"]).alias("position"), F.concat("value", F.lit("\n")).alias("rendered"))
+        chunks = chunks.select("chunk", "position", "rendered").unionByName(first)
     whole = chunks.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("position", "rendered"))).alias("x"))
     rows = whole.select(F.format_string("%04d", "chunk").alias("chunk"), F.array_join("x.rendered", "\n").alias("value"))
     rows.write.mode("overwrite").partitionBy("chunk").text(path) if fmt == "text" else rows.write.mode("overwrite").json(path)
@@ -95,6 +102,19 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_totals(totals: DataFrame, path: str) -> None:
+    """Add a run's totals (codec, kind, files, size, packed) to those kept."""
+    totals.write.mode("append").parquet(path)
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of all runs together."""
+    from lodestone.operators.adaptive import add_totals
+
+    kept = spark.read.parquet(path)
+    return add_totals(kept, kept.limit(0))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """JSON lines, added to those that are there."""
     rows.write.mode("append").json(path)

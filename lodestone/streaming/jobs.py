@@ -31,20 +31,29 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def latest_snapshot(spark: SparkSession, snapshot: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete snapshot of ``intake``, or that before a batch; None if there is none. Errors of reading are raised."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(snapshot)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{snapshot}/batch=*/_SUCCESS"))
+    names = sorted(s.getPath().getParent().toString() for s in done or [])
+    names = [n for n in names if before is None or n.rpartition("/")[2] < f"batch={before:012d}"]
+    return spark.read.parquet(names[-1]) if names else None
+
+
 def intake(stream: DataFrame, snapshot: str, checkpoint: str):
     """Keep a snapshot of (path, content_hash): each batch's added and modified paths replace theirs."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         now = df.select("path", F.sha2("content", 256).alias("content_hash")).dropDuplicates(["path"])
-        try:
-            before = spark.read.parquet(snapshot)
-        except Exception:  # noqa: BLE001 - the first batch has no snapshot
-            before = spark.createDataFrame([], now.schema)
+        before = latest_snapshot(spark, snapshot, epoch)
+        before = spark.createDataFrame([], now.schema) if before is None else before
         fresh = now.join(to_parse(now, before), "path", "left_semi")
         kept = before.join(now.select("path"), "path", "left_anti").unionByName(before.join(now, ["path", "content_hash"], "left_semi"))
-        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{snapshot}.next")
-        spark.read.parquet(f"{snapshot}.next").write.mode("overwrite").parquet(snapshot)
+        # A batch's snapshot is a folder of its own, complete once _SUCCESS is there; a batch that is run again replaces it.
+        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{snapshot}/batch={epoch:012d}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -40,7 +40,15 @@ def test_components(spark, seed):
     r = random.Random(seed)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
-    assert {x["node"]: x["component"] for x in connected_components(spark, df).collect()} == components(edges)
+    for rows in (0, 1000):  # in rounds, and in one task
+        assert {x["node"]: x["component"] for x in connected_components(spark, df, rows=rows).collect()} == components(edges)
+
+
+def test_components_of_a_long_path(spark):
+    path = spark.range(400).selectExpr("concat('n', lpad(id, 4, '0')) a", "concat('n', lpad(id + 1, 4, '0')) b")
+    for rows in (0, 1000):
+        got = connected_components(spark, path, rows=rows)
+        assert got.count() == 401 and got.select("component").distinct().count() == 1
 
 
 def test_components_of_nothing(spark):
@@ -219,5 +227,5 @@ def test_intake(spark, tmp_path):
     (root / "a.txt").write_text("1")
     for k in range(2):
         jobs.intake(jobs.file_stream(spark, str(root)), snap, str(tmp_path / "cp")).awaitTermination()
-        assert spark.read.parquet(snap).count() == k + 1
+        assert jobs.latest_snapshot(spark, snap).count() == k + 1
         (root / "b.txt").write_text("2")
