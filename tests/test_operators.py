@@ -67,7 +67,7 @@ def test_selection(spark):
 
 def test_python_parser(spark):
     code = 'import os\nfrom pathlib import Path\n\n\ndef f(a, b=None):\n    """Doc."""\n    if a:\n        for x in b:\n            if x and a:\n                pass\n\n\nclass T(Base):\n    k = 1\n\n    async def m(self):\n        pass\n'
-    df = spark.createDataFrame([("a.py", "python", code), ("b.py", "python", "def broken(:\n  import x"), ("c.py", "python", None)], "path string, language string, text string")
+    df = spark.createDataFrame([("a.py", "python", code), ("b.py", "python", "def broken(a):\n  import x\n  def inner(b): (\n"), ("c.py", "python", None)], "path string, language string, text string")
     got = {r["path"]: r for r in parsers.PythonParser().parse(df).collect()}
     a = got["a.py"]
     assert a["imports"] == ["os", "pathlib"] and a["functions"][0]["name"] == "f" and a["functions"][0]["docstring"] == "Doc."
@@ -123,8 +123,8 @@ def test_next_fit_keeps_all(sizes, most):
 
 def test_windows(spark):
     df = spark.createDataFrame([(1, "A" * 4096), (2, "short"), (3, "")], "doc_id long, text string")
-    w = chunking.byte_windows(df, 1024, 256)
-    assert w.where("doc_id = 1 and not is_tail").count() == 13 and w.where("doc_id = 2").first()["piece"] == "short"
+    w = chunking.byte_windows(df, 1024, 256, pieces=True)
+    assert w.where("doc_id = 1 and not is_tail").count() == 13 and w.where("doc_id = 2").first()["piece"] == b"short"
     d = chunking.dedup_windows(w)
     assert d.where("doc_id = 1 and not is_tail").count() == 1 and w.where("doc_id = 3").count() == 0
     for bad in ((0, 1), (4, 0), (4, 5)):
@@ -190,7 +190,7 @@ def test_config():
         with pytest.raises(ValueError):
             config.Config(**bad)
     assert config.for_query(config.PRESETS["large"], min_complexity=15).strategy == "full"
-    assert config.auto(20_000, 0) == config.PRESETS["large"] and all(c.spark() for c in config.PRESETS.values())
+    assert config.auto(200_000, 0) == config.PRESETS["large"] and config.auto(20_000, 0) == config.PRESETS["real_time"] and config.auto(100, 2 << 20) == config.PRESETS["high_quality"] and all(c.spark() for c in config.PRESETS.values())
 
 
 def test_file_tree(spark, tmp_path):
@@ -205,7 +205,8 @@ def test_file_tree(spark, tmp_path):
     assert sorted(files) == ["main.py", "src/helper.py", "utils.js"]
     assert files["main.py"]["imports"] == ["os", "sys"] and files["src/helper.py"]["module_path"] == "src.helper"
     out = compress_codebase(spark, str(tmp_path), query={"language": "python"}).collect()
-    assert len(out) == 2 and any("main" in r["rendered"] for r in out)
+    assert sum(r["path"] is not None for r in out) == 2 and any("main" in r["rendered"] for r in out if r["path"])
+    assert [(r["chunk"], r["position"]) for r in out if r["path"] is None] == [(0, 0)]
     with pytest.raises(src.LimitExceeded):
         src.guard(src.scan(spark, str(tmp_path)), most_files=1)
     assert src.fallback_listing(spark, str(tmp_path)).count() == 2
