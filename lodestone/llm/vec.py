@@ -78,21 +78,21 @@ def strings(col: pa.Array) -> pa.Array:
 
 def chunks(col: pa.Array, lower: bool = True, size: int = 1 << 20, rows: int = 1 << 16) -> Iterator[Chunk]:
     """The documents of a string column in runs of about ``size`` bytes, ``rows`` at most; a longer document is a run of its own."""
-    col = strings(col)
-    if lower:
-        col = pc.utf8_lower(col)
-    n = len(col)
-    if not n:
-        return
-    _, o, d = col.buffers()
-    off = np.frombuffer(o, np.int64)[col.offset : col.offset + n + 1]
-    data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n, lo = len(col), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    while lo < n:  # only a run at a time is copied, not the batch
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
         hi = min(hi, n, lo + rows)
-        yield Chunk(lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        part = strings(col.slice(lo, hi - lo))
+        part = pc.utf8_lower(part) if lower else part
+        _, o, d = part.buffers()
+        off = np.frombuffer(o, np.int64)[part.offset : part.offset + hi - lo + 1]
+        data = np.frombuffer(d, np.uint8) if d is not None else np.zeros(0, np.uint8)
+        yield Chunk(lo, data[off[0] : off[-1]], off - off[0])
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def segment_sum(x: np.ndarray, off: np.ndarray) -> np.ndarray:
