@@ -210,29 +210,45 @@ def rust_imports(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);"), 1), strip)
 
 
-#: Language to its features, and the pattern that shows each.
+#: Language to its features: literals, and the pattern that shows the feature. A text without any of the literals of each group can't
+#: show it, which is known without reading it by the pattern. Patterns begin with a literal or one character, so that no run of word
+#: characters is tried again from each of its places.
 FEATURES = {
     "typescript": {
-        "generics": rf"<[A-Z]{WORD}*(?:\s+extends\s+{WORD}+)?>|{WORD}+<[^>]+>",
-        "decorators": rf"@{WORD}+\s*(?:\([^)]*\))?\s*(?:class|function|get|set|method)",
+        "generics": ("< >", rf"<[A-Z]{WORD}*(?:\s+extends\s+{WORD}+)?>|{WORD}<[^>]+>"),
+        "decorators": ("@", rf"@{WORD}+\s*(?:\([^)]*\))?\s*(?:class|function|get|set|method)"),
     },
     "go": {
-        "goroutines": rf"\bgo\s+{WORD}+\s*\(",
-        "channels": r"\bchan\b|<-",
-        "generics": rf"\[\s*{WORD}+\s+{WORD}+(?:\s*,\s*{WORD}+\s+{WORD}+)*\s*\]",
+        "goroutines": ("go (", rf"\bgo\s+{WORD}+\s*\("),
+        "channels": ("chan|<-", r"\bchan\b|<-"),
+        "generics": ("[ ]", rf"\[\s*{WORD}+\s+{WORD}+(?:\s*,\s*{WORD}+\s+{WORD}+)*\s*\]"),
     },
     "rust": {
-        "unsafe": r"\bunsafe\s*\{",
-        "async": r"\basync\b|\bawait\b",
-        "macros": f"{WORD}+!",
-        "generics": rf"<[^>]*(?:[A-Z]{WORD}*|'{WORD}+)[^>]*>",
+        "unsafe": ("unsafe", r"\bunsafe\s*\{"),
+        "async": ("async|await", r"\basync\b|\bawait\b"),
+        "macros": ("!", f"{WORD}!"),
+        "generics": ("< >", rf"<(?=[^>]*>)[^>]*?(?:[A-Z]|'{WORD})"),
     },
 }
 
 
+def _any(text: Column, *literals: str) -> Column:
+    """Whether a text has one of the literals."""
+    out = text.contains(literals[0])
+    for x in literals[1:]:
+        out = out | text.contains(x)
+    return out
+
+
 def features(text: Column, language: str) -> Column:
     """Names of the features of a language that a text shows, in the table's order."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in FEATURES[language].items()]), lambda x: x.isNotNull())
+    each = []
+    for name, (literals, pattern) in FEATURES[language].items():
+        shown = text.rlike(pattern)
+        for x in reversed(literals.split(" ")):
+            shown = _any(text, *x.split("|")) & shown
+        each.append(F.when(shown, F.lit(name)))
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
 def yaml_structure(text: Column) -> Column:

@@ -1,5 +1,10 @@
 """What keeps operators' cost in proportion to their input, and that results stay those of the plain form."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
 from lodestone.operators import codemap
 
 
@@ -20,3 +25,23 @@ def test_dependency_edges_are_distinct_without_a_shuffle_of_edges(spark):
     assert len(edges) == len(set(edges)) and set(edges) == want
     top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in x for x in top[: next(i for i, x in enumerate(top) if "Join" in x)])
+
+
+def test_features_are_those_of_the_plain_patterns(spark):
+    w = "[\\p{L}\\p{M}\\p{N}_]"
+    plain = {
+        "typescript": {"generics": rf"<[A-Z]{w}*(?:\s+extends\s+{w}+)?>|{w}+<[^>]+>", "decorators": rf"@{w}+\s*(?:\([^)]*\))?\s*(?:class|function|get|set|method)"},
+        "go": {"goroutines": rf"\bgo\s+{w}+\s*\(", "channels": r"\bchan\b|<-", "generics": rf"\[\s*{w}+\s+{w}+(?:\s*,\s*{w}+\s+{w}+)*\s*\]"},
+        "rust": {"unsafe": r"\bunsafe\s*\{", "async": r"\basync\b|\bawait\b", "macros": f"{w}+!", "generics": rf"<[^>]*(?:[A-Z]{w}*|'{w}+)[^>]*>"},
+    }
+    texts = ["", None, "é<x>", "a<>", "<A>", "<a 'b>", "<a '>", "<aB\nc>", "<x > Y>", "<<'é", "x <Y", "ago f(", "go f (", "(go)", "chance", "chan", "a<-b", "!", "a!", "ü!", " [a b, c d]", "[a]", "unsafe {", "unsafer{", "await", "awaits", "@a(b) class", "@ class"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    for lang, own in plain.items():
+        want = F.filter(F.array(*[F.when(t.rlike(p), F.lit(n)) for n, p in own.items()]), lambda x: x.isNotNull())
+        assert d.where(~tx.features(t, lang).eqNullSafe(want)).count() == 0
+    # Time was quadratic for a "<" with capitals and no ">" behind it.
+    long = spark.range(1).select(F.concat(F.lit("> <"), F.repeat(F.lit("A b "), 100_000)).alias("t"))
+    began = time.time()
+    assert long.select(tx.features(F.col("t"), "rust").alias("f")).first()["f"] == []
+    assert time.time() - began < 20
