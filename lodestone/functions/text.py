@@ -63,9 +63,9 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def basic_complexity(text: Column) -> Column:
-    """One, and one for every control keyword (in any case) and logical operator."""
-    words = _count(text, r"(?i)\b(?:" + "|".join(KEYWORDS) + r")\b")
-    return (words + _count(text, r"\b(?:and|or|&&|\|\|)\b") + 1).cast("double")
+    """One, and one for every control keyword (in any case) and logical operator: both in one scan, as no match of the one is inside one of the other."""
+    first = "".join(sorted({w[0] for w in KEYWORDS} | {w[0].upper() for w in KEYWORDS} | set("ao&|")))
+    return (_count(text, rf"(?=[{first}])\b(?:(?i:{'|'.join(KEYWORDS)})|and|or|&&|\|\|)\b") + 1).cast("double")
 
 
 #: What counts beside the first point, by language: words, then other patterns.
@@ -145,9 +145,35 @@ def remove_c_comments(text: Column) -> Column:
     return remove_comments(text, r"(?<!:)//.*$", r"/\*.*?\*/")
 
 
+#: Pattern to literals that each of its matches has one of: a text without any isn't read.
+_LITERALS = {
+    r"(?:def|function)\s+(\w+)": ("def", "function"),
+    r"(?:let|var|const)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[^=]+)\s*=>": ("=>",),
+    r"(?:var|let|const)\s+\w+\s*=\s*require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)": ("require",),
+    CONSTANT_PATTERNS[0]: ("final", "const"),
+    CONSTANT_PATTERNS[1]: ("=",),
+}
+
+
+def _any(text: Column, *literals: str) -> Column:
+    """Whether a text has one of the literals."""
+    out = text.contains(literals[0])
+    for x in literals[1:]:
+        out = out | text.contains(x)
+    return out
+
+
+def found(text: Column, pattern: str, group: int = 1) -> Column:
+    """All matches of a pattern."""
+    every = F.regexp_extract_all(text, F.lit(pattern), group)
+    if pattern not in _LITERALS:
+        return every
+    return F.when(~_any(text, *_LITERALS[pattern]), F.array().cast("array<string>")).otherwise(every)
+
+
 def matches(text: Column, patterns: list[tuple[str, int]]) -> Column:
     """All matches of one pattern after those of the other."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(p), g) for p, g in patterns])
+    return F.concat(*[found(text, p, g) for p, g in patterns])
 
 
 def by_language(text: Column, language: Column, table: dict[str, list[tuple[str, int]]]) -> Column:
@@ -232,14 +258,6 @@ FEATURES = {
 }
 
 
-def _any(text: Column, *literals: str) -> Column:
-    """Whether a text has one of the literals."""
-    out = text.contains(literals[0])
-    for x in literals[1:]:
-        out = out | text.contains(x)
-    return out
-
-
 def features(text: Column, language: str) -> Column:
     """Names of the features of a language that a text shows, in the table's order."""
     each = []
