@@ -45,11 +45,11 @@ def symbols(files: DataFrame) -> DataFrame:
     kinds = [("import", F.col("imports")), ("export", F.col("exports")), ("function", F.col("functions.name")), ("class", F.col("classes.name"))]
     have = {f.name for f in files.schema}
     each = [
-        tx.tagged(c, "kind", k, "symbol")
+        tx.tagged(F.array_distinct(c), "kind", k, "symbol")  # of strings, by hash; of structs, each would be compared with each
         for (k, c), col in zip(kinds, ["imports", "exports", "functions", "classes"], strict=True)
         if col in have
     ]
-    return files.select("path", F.explode(F.array_distinct(F.concat(*each))).alias("s")).select("s.kind", "s.symbol", "path")
+    return files.select("path", F.explode(F.concat(*each)).alias("s")).select("s.kind", "s.symbol", "path")
 
 
 def probe(files: DataFrame, index: DataFrame, kind: str, symbol: str) -> DataFrame:
