@@ -100,6 +100,15 @@ def render(items: DataFrame, fmt: str, level: str) -> DataFrame:
     return items.select("path", FORMATS.get(fmt, markdown)(level).alias("rendered"))
 
 
+def render_levels(items: DataFrame, fmt: str) -> DataFrame:
+    """Rows (level, path, rendered) of rows of several levels (store.levels), each as its ``type`` asks."""
+    one = FORMATS.get(fmt, markdown)
+    rendered = F.lit(None).cast("string")
+    for level in _LEVELS:
+        rendered = F.when(F.col("type") == level, one(level)).otherwise(rendered)
+    return items.select(F.col("type").alias("level"), "path", rendered.alias("rendered"))
+
+
 def _number(c: Column) -> Column:
     return F.format_number(c, 0)
 

@@ -92,7 +92,7 @@ def statistics(files: DataFrame) -> DataFrame:
     return one.join(F.broadcast(kinds), F.lit(True))
 
 
-# Projection levels.
+# Projection levels, each by itself or all in one pass.
 
 _META = ("language", "size", "complexity", "token_count")
 
@@ -132,6 +132,19 @@ def summary(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit("summary").alias("type"), "language", "size", "complexity", *[n(c) for c in ("imports", "exports", "functions", "classes")])
 
 
+def levels(files: DataFrame) -> DataFrame:
+    """Rows of all levels, one after another for each file, with the columns of every level: of these a row's ``type`` has its own."""
+    t, lang = F.col("text"), F.col("language")
+    have = [c for c in _META if c in files.columns]
+    counts = summary(files).columns[-4:]
+    n = {c: F.coalesce(F.size(k), F.lit(0)).cast("long") if (k := c.removesuffix("_count")) in files.columns else F.lit(0).cast("long") for c in counts}
+    each = {k: _or_empty(files, k) for k in ("imports", "exports")}
+    each |= {"functions": tx.function_signatures(t, lang), "classes": tx.class_signatures(t, lang), "constants": tx.constants(t), "content": tx.minify(t)}
+    wide = files.select("path", *have, *[c.alias(k) for k, c in (n | each).items()])
+    rows = wide.select("*", F.explode(F.array(*map(F.lit, STRATEGIES))).alias("type"))  # the texts' columns are found before rows are four
+    return rows.withColumn("metadata", _meta(files))
+
+
 STRATEGIES = {"full": full, "structural": structural, "signature": signature, "summary": summary}
 
 

@@ -226,16 +226,9 @@ def _(spark, d):
     return monitoring.hit_rate(c)
 
 
-_LEVELS = list(store.STRATEGIES)
-
-
 def _rendered(spark, d, fmt):
     """All documents at all levels."""
-    out = None
-    for level in _LEVELS:
-        part = formats.render(store.STRATEGIES[level](b.coded(spark, d)), fmt, level).withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return formats.render_levels(store.levels(b.coded(spark, d)), fmt)
 
 
 def _list(*parts):
