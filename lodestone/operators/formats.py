@@ -170,14 +170,14 @@ def _gathered(rows: DataFrame, line: Column, *order: str | Column) -> DataFrame:
     return keyed.agg(F.transform(F.array_sort(F.collect_list("k")), lambda x: x["line"]).alias("x"))
 
 
-def corpus_map(totals: DataFrame, counts: DataFrame, stats: DataFrame, tree: DataFrame, importers: DataFrame, imports: DataFrame) -> DataFrame:
+def corpus_map(overview: DataFrame, tree: DataFrame, importers: DataFrame, imports: DataFrame) -> DataFrame:
     """One row, value: overview, tree, top importers and most used imports of a corpus, as Markdown.
 
-    totals: one row (files, size, tokens); counts: rows (kind, value, n); stats: one row (average); tree: rows (path, line), which
-    all go into the report; importers: at most ten rows (src, targets, more); imports: at most ten (import, n).
+    overview: one row (files, size, tokens, average, languages); tree: rows (path, line), which all go into the report;
+    importers: at most ten rows (src, targets, more); imports: at most ten (import, n).
     """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    languages = _gathered(counts.where("kind = 'language'"), F.concat("value", F.lit(" ("), F.col("n").cast("string"), F.lit(")")), "value")
+    languages = F.transform("languages", lambda x: F.concat(x["value"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
     drawn = _gathered(tree, F.col("line"), F.split("path", "/").alias("p"))
     arrows = F.concat(
         F.lit("- "), name(F.col("src")), F.lit(" → "), F.array_join(F.transform("targets", name), ", "),
@@ -185,9 +185,9 @@ def corpus_map(totals: DataFrame, counts: DataFrame, stats: DataFrame, tree: Dat
     )
     graph = _gathered(importers, arrows, "src")
     used = _gathered(imports, F.concat(F.lit("- "), "import", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")), (-F.col("n")).alias("m"), "import")
-    out = totals.select("files", "size", "tokens").join(F.broadcast(stats.select("average")), F.lit(True))
-    for k, df in (("languages", languages), ("drawn", drawn), ("graph", graph), ("used", used)):
-        out = out.join(F.broadcast(df.withColumnRenamed("x", k)), F.lit(True))  # one row each
+    out = drawn.withColumnRenamed("x", "drawn")  # the only row that may be large: it stays where it is made
+    for df in (overview.withColumn("languages", languages), graph.withColumnRenamed("x", "graph"), used.withColumnRenamed("x", "used")):
+        out = out.join(F.broadcast(df), F.lit(True))  # one row each
     average = F.when(F.col("average") > 0, F.array(F.concat(F.lit("- **Average Complexity**: "), decimals(F.col("average"), 1)))).otherwise(F.array().cast("array<string>"))
     spoken = F.when(F.size("languages") > 0, F.array(F.concat(F.lit("- **Languages**: "), F.array_join("languages", ", ")))).otherwise(F.array().cast("array<string>"))
     return out.select(_lines(

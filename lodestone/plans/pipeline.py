@@ -51,10 +51,8 @@ def corpus(
 def report(files: DataFrame) -> DataFrame:
     """The corpus map of parsed files, one row (value)."""
     edges = codemap.dependency_edges(files.select("path", F.col("internal_dependencies").alias("imports")))
-    return formats.corpus_map(
-        codemap.totals(files), codemap.counts(files), codemap.complexity_stats(files), codemap.tree_text(files.select(F.col("relative_path").alias("path"))),
-        codemap.top_importers(edges), codemap.top_imports(files),
-    )
+    tree = codemap.tree_text(files.select(F.col("relative_path").alias("path")))
+    return formats.corpus_map(codemap.overview(files), tree, codemap.top_importers(edges), codemap.top_imports(files))
 
 
 def chunked(items: DataFrame, files: DataFrame, how: str, most: int) -> DataFrame:

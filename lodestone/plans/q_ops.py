@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions import paths, text as tx
+from lodestone.functions import text as tx
 from lodestone.operators import codemap, formats, monitoring, parsers, security, store
 from lodestone.plans import bindings as b
 from lodestone.plans.q_text import STRUCTURAL
@@ -345,9 +345,9 @@ r AS (SELECT (SELECT list(language || ' (' || n || ')' ORDER BY language) FROM l
 SELECT array_to_string(['# Codebase Analysis' || chr(10), '## Overview' || chr(10), {_BOLD('Total Files', 'f')}, {_BOLD('Total Size', _NUM('s') + " || ' bytes'")}, {_BOLD('Total Lines', _NUM('k'))}, '- **Languages**: ' || array_to_string(l, ', '), '- **Average Complexity**: ' || printf('%.1f', a), '',
   '## Project Structure' || chr(10), '```'] || t || ['```' || chr(10), '## Dependency Graph' || chr(10), '### Import Relationships'] || g || ['', '## External Dependencies' || chr(10) || chr(10) || '### Most Used Imports'] || u || ['', '## File Organization' || chr(10)], chr(10)) AS value FROM r""")
 def _(spark, d):
-    f = b.coded(spark, d).withColumn("file_type", paths.file_type(F.col("path")))
+    f = b.coded(spark, d)
     importers = codemap.top_importers(codemap.export_edges(b.deps(spark, d)))
-    return formats.corpus_map(codemap.totals(f), codemap.counts(f), codemap.complexity_stats(f), codemap.tree_text(f), importers, codemap.top_imports(f))
+    return formats.corpus_map(codemap.overview(f), codemap.tree_text(f), importers, codemap.top_imports(f))
 
 
 @query("parse_files")

@@ -5,7 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import codemap
+from lodestone.operators import codemap, store
+from lodestone.plans import catalog
 
 
 def test_names_look_at_few_targets(spark):
@@ -45,3 +46,41 @@ def test_features_are_those_of_the_plain_patterns(spark):
     began = time.time()
     assert long.select(tx.features(F.col("t"), "rust").alias("f")).first()["f"] == []
     assert time.time() - began < 20
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_complexity_and_found_are_those_of_the_plain_patterns(spark):
+    words = "|".join(tx.KEYWORDS)
+    texts = ["", None, "IF a and b", "if&&else||x", "a&&b || c", "for or nor", "éif ifé if", "Case:AND and", "def f function g undef x", "let a = b => c", "const x = require('y')", "final x = 1\nAB = '2'", "=> ="]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = (F.regexp_count(t, F.lit(rf"(?i)\b(?:{words})\b")) + F.regexp_count(t, F.lit(r"\b(?:and|or|&&|\|\|)\b")) + 1).cast("double")
+    assert d.where(~tx.basic_complexity(t).eqNullSafe(plain)).count() == 0
+    for p in tx._LITERALS:
+        assert d.where(~tx.found(t, p, 0).eqNullSafe(F.regexp_extract_all(t, F.lit(p), 0))).count() == 0
+
+
+def test_texts_are_read_once(spark, sf_dir):
+    q = catalog.queries()
+    for name in ("format_xml", "format_custom", "format_markdown"):
+        assert _plan(q[name](spark, sf_dir)).count("Relation") == 1
+    for name in ("store_statistics", "corpus_map"):
+        assert _plan(q[name](spark, sf_dir)).count(tx.TOKEN) == 1
+
+
+def test_symbols_of_a_large_file(spark):
+    n = 100_000  # each struct was compared with each
+    f = spark.range(1).select(F.lit("p").alias("path"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: (x % (n - 1)).cast("string")).alias("imports"))
+    began = time.time()
+    assert store.symbols(f).count() == n - 1
+    assert time.time() - began < 20
+
+
+def test_overview_of_nothing_and_of_unrated_files(spark):
+    schema = "language string, size long, token_count long, complexity double"
+    assert codemap.overview(spark.createDataFrame([], schema)).first().asDict() == {"files": 0, "size": 0, "tokens": 0, "average": 0.0, "languages": []}
+    got = codemap.overview(spark.createDataFrame([("b", 1, 2, 0.0), ("a", 3, 4, 3.0), ("a", 5, 6, 4.0)], schema)).first()
+    assert tuple(got)[:4] == (3, 9, 12, 3.5) and [tuple(x) for x in got["languages"]] == [("a", 2), ("b", 1)]
