@@ -197,7 +197,7 @@ def byte_windows(texts: DataFrame, window: int, hop: int, pieces: bool = False)
                         if pieces:
                             piece.append(bytes(w))
                             held += len(w)
-                if held > 1 << 24:  # a batch of long texts leaves in parts
+                if held > 1 << 22:  # a batch of long texts leaves in parts
                     yield flush()
                     at, start, digest, tail, piece, held = [], [], [], [], [], 0
             yield flush()

@@ -2,11 +2,13 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import codemap, store
 from lodestone.plans import catalog
+from lodestone.sources import files
 
 
 def test_names_look_at_few_targets(spark):
@@ -84,3 +86,13 @@ def test_overview_of_nothing_and_of_unrated_files(spark):
     assert codemap.overview(spark.createDataFrame([], schema)).first().asDict() == {"files": 0, "size": 0, "tokens": 0, "average": 0.0, "languages": []}
     got = codemap.overview(spark.createDataFrame([("b", 1, 2, 0.0), ("a", 3, 4, 3.0), ("a", 5, 6, 4.0)], schema)).first()
     assert tuple(got)[:4] == (3, 9, 12, 3.5) and [tuple(x) for x in got["languages"]] == [("a", 2), ("b", 1)]
+
+
+def test_python_gets_few_bytes_at_once(spark):
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    d = files.spread(spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))).coalesce(1)
+    n = [r["n"] for r in d.mapInArrow(rows, "n long").collect()]
+    assert sum(n) > 40_000_000 and max(n) < 1.5 * files.BATCH_BYTES
